@@ -262,9 +262,16 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[n]) for n, c in zip(names, columns)})
 
 
-def _load(table: pa.Table, width: int) -> Group:
+def _load(table: pa.Table, width: int) -> tuple[Group, pa.Table]:
+    """A group and its rows, by id and then text: rows come in any order, and anchors are
+    known by their number in the group."""
     ids = table.column("id").fill_null(LAST_ID).to_numpy().astype(np.int64)
-    return Group([x.as_py() for x in table.column("text")], ids, width)
+    order = np.argsort(ids, kind="stable")
+    if (np.diff(ids[order]) == 0).any():
+        texts = table.column("text").to_pylist()
+        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or b"")))
+    table = table.take(pa.array(order))
+    return Group([x.as_py() for x in table.column("text")], ids[order], width), table
 
 
 def _repeats(g: Group) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +303,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     context = span + width
 
     def send_prints(table: pa.Table) -> pa.Table:
-        g = _load(table, width)
+        g, _ = _load(table, width)
         prints, multi = _repeats(g)
         own = table.column("g")[0].as_py()
         coded = (prints << np.uint64(1)) | multi.astype(np.uint64)
@@ -318,7 +325,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     def send_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _table([], ["g", "b", "kind", "blob"])
-        own, g = left.column("g")[0].as_py(), _load(left, width)
+        own, (g, _) = left.column("g")[0].as_py(), _load(left, width)
         told = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_unpack6(x.as_py()) for x in right.column("blob")]]))
         prints, multi = _repeats(g)
         known = np.concatenate([prints[multi], told >> np.uint64(1)])
@@ -377,7 +384,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         return _table(out, ["g", "kind", "blob"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        g = _load(left, width)
+        g, left = _load(left, width)
         mask, alias = np.zeros(len(g.at), np.uint32), np.arange(len(g.at))
         for kind, blob in zip(right.column("kind").to_pylist(), right.column("blob")):
             if kind == 3:
