@@ -1,0 +1,3 @@
+"""Company-identifier validation over DataFrames."""
+
+__version__ = "0.1.0"
