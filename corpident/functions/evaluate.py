@@ -25,7 +25,8 @@ def view(bases: Column, base: Column, start: Column, stop: Column) -> Column:
     def of(s: Column) -> Column:
         n = F.length(s)
         end = F.when(stop.isNull(), n).when(stop < 0, n + stop).otherwise(stop)
-        return F.when((start <= end) & (end <= n), F.substring(s, start + 1, end - start))
+        first = F.when(start < 0, n + start).otherwise(start)
+        return F.when((first >= 0) & (first <= end) & (end <= n), F.substring(s, first + 1, end - first))
 
     return let(F.get(bases, base), of)
 

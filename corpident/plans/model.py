@@ -2,8 +2,8 @@
 
 A rule is data, so that one generic expression evaluates all of them and adding a rule adds a
 row. A view is a part of the canonical value ("whole"), of what stands between a EUID's
-country and its first full stop ("register"), or after that stop ("tail"); `end` may count
-from the end, None is open. A test is a condition on a view. A check holds if all tests of
+country and its first full stop ("register"), or after that stop ("tail"); negative places
+count from the end, an end of None is open. A test is a condition on a view. A check holds if all tests of
 one of its alternatives do. A checksum is a list of parts that must all pass; the first branch
 of a part that applies decides it, by any of its sums.
 """
@@ -26,7 +26,7 @@ class View:
 
     def on(self, outer: View) -> View:
         """This view of what outer, a suffix, shows."""
-        return View(self.start + outer.start, None if self.end is None else self.end if self.end < 0 else self.end + outer.start, outer.base)
+        return View(self.start if self.start < 0 else self.start + outer.start, None if self.end is None else self.end if self.end < 0 else self.end + outer.start, outer.base)
 
 
 @dataclass(frozen=True)
