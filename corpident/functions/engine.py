@@ -81,13 +81,13 @@ def resolve(df: DataFrame, kind: str, value: str, country: str | None, profile:
     asked = _blank("string") if profile is None else F.lit(profile) if profile in catalog.PROFILES else col(profile) if isinstance(profile, str) else profile
     asked = F.when(asked.isin(*catalog.PROFILES), asked)
     raw_country = _blank("string") if country is None else col(country)
-    df = df.withColumns(
-        {
-            "e_value": col(value).cast("string"),
-            "e_raw_country": raw_country.cast("string"),
-            "e_asked": asked,
-            "e_token": translate(F.btrim(col(kind), F.lit(ASCII_WHITESPACE)), UPPER, LOWER),
-        }
+    # the caller's columns travel in one struct, so that no name of theirs can clash
+    df = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("e_row"),
+        col(value).cast("string").alias("e_value"),
+        raw_country.cast("string").alias("e_raw_country"),
+        asked.alias("e_asked"),
+        translate(F.btrim(col(kind), F.lit(ASCII_WHITESPACE)), UPPER, LOWER).alias("e_token"),
     )
     utf8, short = F.is_valid_utf8("e_value"), F.octet_length("e_value") <= catalog.MAX_INPUT_BYTES
     df = df.join(F.broadcast(t.kinds), (col("e_token") == col("k_token")) & utf8 & short, "left")
@@ -151,7 +151,7 @@ def canonicalize(df: DataFrame, kind: str = "kind", value: str = "value", countr
     """df with a struct column canonicalization; a NULL value gives NULL."""
     found = resolve(df, kind, value, country, profile, definitions)
     result = F.struct(*_common(), F.coalesce("e_status", F.lit("valid")).alias("status"), F.coalesce("e_reason", F.lit("ok")).alias("reason_code"), _blank("string").alias("message_key"))
-    return found.select(*[F.col(c) for c in df.columns], F.when(F.col("e_value").isNotNull(), result).alias("canonicalization"))
+    return found.select(*[F.col(f"e_row.`{c}`").alias(c) for c in df.columns], F.when(F.col("e_value").isNotNull(), result).alias("canonicalization"))
 
 
 def validate(
@@ -197,7 +197,7 @@ def validate(
         (format_valid & checksum_valid).alias("is_fully_validated"),
         ((col("e_format.status") == "invalid") | (col("e_checksum.status") == "invalid")).alias("is_invalid"),
     )
-    return found.select(*[F.col(c) for c in df.columns], F.when(col("e_value").isNotNull(), report).alias("report"))
+    return found.select(*[F.col(f"e_row.`{c}`").alias(c) for c in df.columns], F.when(col("e_value").isNotNull(), report).alias("report"))
 
 
 def validate_format(df: DataFrame, **how) -> DataFrame:
