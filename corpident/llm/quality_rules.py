@@ -98,7 +98,7 @@ def default_rules() -> list[Rule]:
         Rule("few_letters", 10 * F.regexp_count(t, F.lit(r"\p{L}")) < 6 * F.col("word_chars")),
         Rule("shouting", 10 * F.regexp_count(t, F.lit(r"(?:^|[\x20\x09-\x0D])\p{Lu}{2,}")) > 3 * n),
         Rule("bullets", 10 * lines(lambda x: F.regexp_like(x, F.lit(r"^[\x20\x09]*[-*•]"))) > 9 * lines(lambda x: F.lit(True))),
-        Rule("ellipses", 10 * lines(lambda x: F.regexp_like(x, F.lit(r"(?:\.\.\.|…)[\x20\x09\x0D]*$"))) > 3 * lines(lambda x: F.lit(True))),
+        Rule("ellipses", 10 * lines(lambda x: F.regexp_like(x, F.lit(r"(?:\.\.\.|…)[\x20\x09\x0D]*\z"))) > 3 * lines(lambda x: F.lit(True))),
     ]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, chat_format, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, warc
 from .common import shared_path
+from .oracles import ORACLE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,4 +94,4 @@ QUERIES = {
     for f in (op1_quality_rules, op2_suffix_dedup, op3_packing, op4_token_counts, op5_chat_format, op6_mixing, op7_warc, op8_ann, op9_quality_classifier, op10_simhash, pipeline)
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
