@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
     rows = rows.select("_doc", "_label", statistics(F.col("_text")).alias("x"))
     rows = rows.orderBy("_doc", "x").limit(max_rows).select("_label", "x").toArrow()
-    x = np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, -1)
+    x = np.array(rows.column("x").to_pylist(), float).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1))
     return fit(x, rows.column("_label").to_numpy().astype(float))
 
 
