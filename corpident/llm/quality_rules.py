@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, let
 
-#: Documents of the sample that the order of rules is estimated on.
-SAMPLE_ROWS = 1000
+#: The sample that the order of rules is estimated on: documents, and the most characters of each.
+SAMPLE_ROWS, SAMPLE_CHARS = 500, 100_000
 WINDOW = 8
 
 
@@ -102,10 +102,14 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def order_rules(measured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, cost, rejection rate) by rejections per cost, the best first, each estimated on
-    the same sample of at most sample_rows documents."""
-    sample = measured.limit(sample_rows).persist()
+def order_rules(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+    """(rule, cost, rejection rate) by rejections per cost, the best first. rows: text. The
+    sample is the first sample_rows documents of at most SAMPLE_CHARS characters, read from as
+    few partitions as hold them."""
+    spark = rows.sparkSession
+    few = rows.select("text").where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).limit(sample_rows).collect()
+    sample = spark.createDataFrame(few, "text string").coalesce(1)
+    sample = sample.select("text", measures(F.col("text")).alias("m")).select("text", "m.*").persist()
     n = sample.count()
     found = []
     for rule in rules if n else []:
@@ -120,7 +124,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     """One row per document: doc_id, the measures, base_failed boolean, kept boolean, and keep."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
     measured = rows.withColumn("m", measures(F.col("text"))).select("*", "m.*").drop("m")
-    ordered = order_rules(measured, default_rules() if rules is None else rules)
+    ordered = order_rules(rows, default_rules() if rules is None else rules)
     verdict = F.when(base_failed(), F.lit(False))
     for rule, _, _ in ordered:
         verdict = verdict.when(F.coalesce(rule.reject, F.lit(False)), F.lit(False))
