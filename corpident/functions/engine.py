@@ -6,8 +6,9 @@ expressions over the row, no shuffle and no Python, so they hold for a stream as
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +41,22 @@ class Registers:
         rows = spark.read.text(path).select(F.trim("value")).where(F.trim("value") != "").limit(100_000).collect()
         return cls(german=tuple(sorted({r[0] for r in rows})))
 
-    def listed(self, name: Column, v: Column) -> Column:
-        v = F.coalesce(v, F.lit(""))
-        german = F.lit(None).cast("boolean") if self.german is None else v.isin(*self.german)
-        return F.when(name == "french", v.isin(*self.french)).when(name == "british", v.isin(*self.british)).when(name == "german", german)
+    def listed(self) -> Column:
+        """Whether the part of the value that the rule's list is about is on it; NULL if that is not known."""
+        name, register, head = F.col("r_list"), F.coalesce("e_register", F.lit("")), F.substring("e_canonical", 1, 2)
+        german = F.lit(None).cast("boolean") if self.german is None else register.isin(*self.german)
+        return F.when(name == "french", register.isin(*self.french)).when(name == "british", head.isin(*self.british)).when(name == "german", german)
+
+
+_built: dict[tuple, Any] = {}
+
+
+def _kept(spark: SparkSession, name: str, build: Callable[[], Any]) -> Any:
+    """What reads names and fixed tables only, built once per session: building takes longer than running a small query."""
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), name)
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
 
 
 def _blank(c: str) -> Column:
@@ -77,7 +90,7 @@ def _canonical(v: Column) -> Column:
 def resolve(df: DataFrame, kind: str, value: str, country: str | None, profile: str | Column | None, definitions: list[Definition] | None) -> DataFrame:
     """df with the columns of dispatch: e_kind, e_canonical, e_country, e_profile, e_status and
     e_reason (NULL once a rule is selected), and the rule's columns r_*."""
-    col, t = F.col, tables(df.sparkSession, definitions)
+    col, t = F.col, _kept(df.sparkSession, "tables", lambda: tables(df.sparkSession)) if definitions is None else tables(df.sparkSession, definitions)
     asked = _blank("string") if profile is None else F.lit(profile) if profile in catalog.PROFILES else col(profile) if isinstance(profile, str) else profile
     asked = F.when(asked.isin(*catalog.PROFILES), asked)
     raw_country = _blank("string") if country is None else col(country)
@@ -172,9 +185,10 @@ def validate(
     """
     col, lists = F.col, registers or Registers()
     found = resolve(df, kind, value, country, profile, definitions)
-    found = found.withColumn("e_bases", evaluate.bases(col("e_canonical"), col("r_euid")))
-    failure = F.when(col("target").isNotNull(), evaluate.first_failure(col("r_checks"), col("e_bases"), col("e_profile"), lists.listed))
-    found = found.withColumn("e_failure", failure)
+    euid = col("r_euid").isNotNull()
+    found = found.withColumns({"e_register": F.when(euid, evaluate.register(col("e_canonical"), col("r_euid"))), "e_tail": F.when(euid, evaluate.tail(col("e_canonical")))})
+    found = found.withColumns({"e_listed": lists.listed(), "e_head": F.when(col("target").isNotNull(), _kept(df.sparkSession, "head", evaluate.head_failure))})
+    found = found.withColumn("e_failure", F.when(col("target").isNotNull(), _kept(df.sparkSession, "failure", evaluate.first_failure)))
     selected, failed, known = col("target").isNotNull(), col("e_failure").isNotNull(), F.coalesce(col("e_failure.known"), F.lit(True))
     status = F.when(~selected, col("e_status")).when(failed & known, "invalid").when(failed, "unsupported").otherwise("valid")
     reason = F.when(~selected, col("e_reason")).when(failed & known, col("e_failure.reason_code")).when(failed, "unsupported_format").otherwise("ok")
@@ -183,8 +197,12 @@ def validate(
     absent = _step("checksum", F.lit("unsupported"), col("r_absence"), _blank("string"))
     ran = not_run("not_requested")
     if run_checksum:
-        summed = evaluate.checksum(col("r_parts"), col("e_bases"), col("e_profile"), lists.listed)
-        ran = F.when(col("r_absence").isNotNull(), absent).otherwise(evaluate.let(summed, lambda o: _step("checksum", o["status"], o["reason_code"], o["message_key"])))
+        runs = col("target").isNotNull() & col("r_absence").isNull() & (col("e_format.status") == "valid")
+        found = found.withColumn("e_runs", runs & col("r_sum").isNotNull())
+        for stage in _kept(df.sparkSession, "one", evaluate.stages_of_one):
+            found = found.withColumns(stage)
+        found = found.withColumn("e_sum", F.when(runs & col("r_sum").isNull(), _kept(df.sparkSession, "parts", evaluate.outcome_of_parts)).otherwise(col("e_one")))
+        ran = F.when(col("r_absence").isNotNull(), absent).otherwise(_step("checksum", col("e_sum.status"), col("e_sum.reason_code"), col("e_sum.message_key")))
     checksum = F.when(col("e_format.status") == "invalid", not_run("not_run_format_invalid")).when(col("e_format.status") == "unsupported", not_run("not_run_format_unsupported")).otherwise(ran)
     found = found.withColumn("e_checksum", checksum)
     format_valid, checksum_valid = col("e_format.status") == "valid", col("e_checksum.status") == "valid"

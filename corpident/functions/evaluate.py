@@ -1,4 +1,9 @@
-"""One expression that evaluates any rule row: its tests, checks, sums and checksums."""
+"""One expression that evaluates any rule row: its checks, sums and checksums.
+
+What most rules share is plain columns and runs as generated code: the checks they begin with
+and a checksum of one sum. Other checks, and checksums of several parts or branches, are
+nested lists and go through lambdas. Columns read here are those that engine.py names.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpident.operators import assertions, integers, outcomes
+from corpident.operators import integers, outcomes
 from corpident.operators.alphabets import BASE36, DIGITS
 from corpident.operators.columns import luhn_check
+from corpident.plans.tables import HEAD
 
 OUTCOME = outcomes.TYPE
+#: Digits of one number, and characters that are spelt out, at most.
+MOST_DIGITS, MOST_CHARS = 18, 20
+BASE_COLUMNS = ("e_canonical", "e_register", "e_tail")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -19,29 +28,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def view(bases: Column, base: Column, start: Column, stop: Column) -> Column:
-    """A part of a base; NULL if the base is absent or too short."""
+def register(s: Column, country: Column) -> Column:
+    """What stands between a EUID's country and its first full stop; NULL if there is none."""
+    after = F.when(F.instr(s, country) > 0, F.substring(s, F.instr(s, country) + F.length(country), F.length(s)))
+    dot = F.instr(after, F.lit("."))
+    return F.when(dot > 0, F.substring(after, F.lit(1), dot - 1))
 
-    def of(s: Column) -> Column:
-        n = F.length(s)
-        end = F.when(stop.isNull(), n).when(stop < 0, n + stop).otherwise(stop)
-        first = F.when(start < 0, n + start).otherwise(start)
-        return F.when((first >= 0) & (first <= end) & (end <= n), F.substring(s, first + 1, end - first))
 
-    return let(F.get(bases, base), of)
+def tail(s: Column) -> Column:
+    dot = F.instr(s, F.lit("."))
+    return F.when(dot > 0, F.substring(s, dot + 1, F.length(s)))
 
 
-def bases(s: Column, euid_country: Column) -> Column:
-    """whole, register, tail: what views are of."""
-    after = F.when(F.instr(s, euid_country) > 0, F.substring(s, F.instr(s, euid_country) + F.length(euid_country), F.length(s)))
-    dot = lambda x: F.instr(x, F.lit("."))
-    register = let(after, lambda a: F.when(dot(a) > 0, F.substring(a, F.lit(1), dot(a) - 1)))
-    tail = F.when(dot(s) > 0, F.substring(s, dot(s) + 1, F.length(s)))
-    return F.array(s, register, tail)
+def view(base: Column, start: Column, stop: Column) -> Column:
+    """A part of a base; NULL if the base is absent or too short."""
+    s = F.when(base == 0, F.col(BASE_COLUMNS[0])).when(base == 1, F.col(BASE_COLUMNS[1])).otherwise(F.col(BASE_COLUMNS[2]))
+    n = F.length(s)
+    end = F.when(stop.isNull(), n).when(stop < 0, n + stop).otherwise(stop)
+    first = F.when(start < 0, n + start).otherwise(start)
+    part = F.when((first >= 0) & (first <= end) & (end <= n), F.substring(s, first + 1, end - first))
+    return F.when((start == 0) & stop.isNull(), s).otherwise(part)
 
 
-def test(t: Column, of: Column, profile: Column, listed: Callable[[Column, Column], Column]) -> Column:
-    """A test of a rule. listed(name, view): on the named register list, NULL if unknown."""
+def test(t: Column) -> Column:
+    """A test of a rule. NULL where a register list is needed and missing, else firm."""
 
     def on(v: Column) -> Column:
         op = t["op"]
@@ -49,64 +59,111 @@ def test(t: Column, of: Column, profile: Column, listed: Callable[[Column, Colum
             F.when(op == "chars", integers.consists_of(v, t["text"]))
             .when(op == "length", F.length(v).between(t["least"], t["most"]))
             .when(op == "empty", v == "")
+            .when(op == "lengths", _among(F.length(v), t["text"]))
             .when(op == "prefix", F.startswith(v, t["text"]))
             .when(op == "contains", F.contains(v, t["text"]))
             .when(op == "absent", v.isNull())
-            .when(op == "profile", profile == t["text"])
+            .when(op == "profile", F.col("e_profile") == t["text"])
         )
-        found = F.when(op == "listed", listed(t["text"], v)).otherwise(F.coalesce(plain, F.lit(False)))
-        return found != t["negated"]
-
-    return let(view(of, t["base"], t["start"], t["stop"]), on)
+        return F.when(op == "listed", F.col("e_listed")).otherwise(F.coalesce(plain, F.lit(False))) != t["negated"]
 
+    return let(view(t["base"], t["start"], t["stop"]), on)
 
-def first_failure(checks: Column, of: Column, profile: Column, listed: Callable[[Column, Column], Column]) -> Column:
-    """The first check that fails, as a struct (reason_code, message_key, known); NULL if none
-    does. known is false where a register list is missing, so that nothing is proven."""
-
-    def state(c: Column) -> Column:
-        return F.exists(c["alternatives"], lambda a: F.forall(a, lambda t: test(t, of, profile, listed)))
 
-    judged = F.transform(checks, lambda c: F.struct(state(c).alias("holds"), c["reason"].alias("reason_code"), c["key"].alias("message_key")))
-    # a check stands for its own part only once those before it hold
-    failed = F.filter(judged, lambda c: ~F.coalesce(c["holds"], F.lit(False)))
-    return let(F.get(failed, F.lit(0)), lambda c: F.when(c.isNotNull(), F.struct(c["reason_code"].alias("reason_code"), c["message_key"].alias("message_key"), c["holds"].isNotNull().alias("known"))))
+def _among(n: Column, lengths: Column) -> Column:
+    return F.contains(lengths, F.concat(F.lit("/"), n.cast("string"), F.lit("/")))
 
 
-def number(s: Column, of: Column) -> Column:
-    """The number of a sum: weighted or read, reduced, complemented, mapped."""
-
-    def on(v: Column) -> Column:
-        raw = F.when(s["kind"] == "weighted", F.pmod(integers.weighted_sum(v, s["weights"], s["alignment"], s["alphabet"]), s["modulus"])).when(s["kind"] == "number", integers.mod_digits(v, s["modulus"]))
+def head_failure() -> Column:
+    """The name of the first check in HEAD that fails, or NULL."""
+    col, s = F.col, F.col("e_canonical")
+    body = F.when(col("r_from") == 0, s).when(F.length(s) >= col("r_from"), F.substring(s, col("r_from") + 1, F.length(s)))
+    fits = F.when(col("r_lengths").isNotNull(), _among(F.length(s), col("r_lengths"))).otherwise(F.length(s).between(col("r_least"), col("r_most")))
+    return (
+        F.when(col("r_empty").isNotNull() & (s == ""), "empty")
+        .when(col("r_length").isNotNull() & ~fits, "length")
+        .when(col("r_start").isNotNull() & ~F.startswith(s, col("r_starts")), "prefix")
+        .when(col("r_chars").isNotNull() & ~integers.consists_of(body, col("r_alphabet")), "chars")
+    )
 
-        def reduced(r: Column) -> Column:
-            r = F.when(s["complement"], integers.complement(r, s["modulus"])).otherwise(r)
-            return F.when(s["remainders"].isNull(), r).otherwise(integers.remainder_map(r, s["remainders"]))
 
-        return let(raw, reduced)
-
-    return let(view(of, s["base"], s["start"], s["stop"]), on)
-
-
-def outcome(s: Column, of: Column) -> Column:
-    """valid, invalid or unsupported, with reason and key, for one sum."""
-    key = s["key"]
-
-    def result(known: Column, holds: Column) -> Column:
-        status = F.when(~F.coalesce(known, F.lit(False)), "unsupported").when(holds, "valid").otherwise("invalid")
-        reason = F.when(status == "valid", "ok").when(status == "invalid", "invalid_checksum").otherwise("unsupported_checksum")
-        return F.struct(status.alias("status"), reason.alias("reason_code"), F.when(status == "invalid", key).alias("message_key"))
+def first_failure() -> Column:
+    """The first check that fails, as a struct (reason_code, message_key, known); NULL if none
+    does. known is false where a register list is missing, so that nothing is proven. It reads
+    e_head, the result of head_failure()."""
+    col, head = F.col, F.col("e_head")
+    reason, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for op, column in zip(HEAD, ("r_empty", "r_length", "r_start", "r_chars")):
+        reason, key = F.when(head == op, HEAD[op]).otherwise(reason), F.when(head == op, col(column)).otherwise(key)
+    first = F.struct(reason.alias("reason_code"), key.alias("message_key"), F.lit(True).alias("known"))
+
+    def judged(c: Column) -> Column:
+        return F.struct(c["reason"].alias("reason_code"), c["key"].alias("message_key"), F.exists(c["alternatives"], lambda a: F.forall(a, lambda t: test(t))).alias("holds"))
+
+    failed = F.get(F.filter(F.transform("r_rest", judged), lambda c: ~F.coalesce(c["holds"], F.lit(False))), F.lit(0))
+    rest = let(failed, lambda c: F.when(c["reason_code"].isNotNull(), F.struct(c["reason_code"].alias("reason_code"), c["message_key"].alias("message_key"), c["holds"].isNotNull().alias("known"))))
+    return F.when(head.isNotNull(), first).when(F.size("r_rest") > 0, rest)
+
+
+def _finished(r: Column, s: Column) -> Column:
+    r = F.when(s["complement"], integers.complement(r, s["modulus"])).otherwise(r)
+    return F.when(s["remainders"].isNull(), r).otherwise(integers.remainder_map(r, s["remainders"]))
+
+
+def _result(known: Column, holds: Column, key: Column) -> Column:
+    status = F.when(~F.coalesce(known, F.lit(False)), "unsupported").when(holds, "valid").otherwise("invalid")
+    reason = F.when(status == "valid", "ok").when(status == "invalid", "invalid_checksum").otherwise("unsupported_checksum")
+    return F.struct(status.alias("status"), reason.alias("reason_code"), F.when(status == "invalid", key).alias("message_key"))
+
+
+def _expected(s: Column) -> Column:
+    return F.when(s["against"] == "digits", integers.digits_to_integer(view(s["d_base"], s["d_start"], s["d_stop"]))).otherwise(s["constant"])
+
+
+def stages_of_one() -> list[dict[str, Column]]:
+    """Columns to add, stage by stage, up to e_one: the outcome of r_sum. Each stage reads
+    those before it, so that nothing is written out twice in the plan."""
+    col, s = F.col, F.col("r_sum")
+    n = col("e_n")
+    total = F.aggregate("r_terms", F.lit(0).cast("bigint"), lambda sum_, t: sum_ + F.call_function("div", col("e_read"), t["power"]) % 10 * t["weight"])
+    written = F.array(*[F.lit(str(k)) for k in range(36)])
+    spelt = F.concat(*[F.when(n > i, F.get(written, F.instr(F.lit(BASE36), F.substring("e_s", i + 1, 1)) - 1)).otherwise(F.lit("")) for i in range(MOST_CHARS)])
+    r = F.substring("e_spelt", 1, 18).try_cast("bigint") % 97
+    for start in (19, 35):
+        r = F.concat(r.cast("string"), F.substring("e_spelt", start, 16)).try_cast("bigint") % 97
+    known = F.when(s["kind"] == "luhn", (n >= 2) & col("e_digits")).when(s["kind"] == "mod97", (n >= 3) & col("e_alnum")).otherwise(col("e_number").isNotNull() & col("e_expected").isNotNull())
+    holds = F.when(s["kind"] == "luhn", luhn_check(col("e_s"))).when(s["kind"] == "mod97", F.when(n <= MOST_CHARS, r).otherwise(outcomes.mod97_remainder(col("e_s"))) == 1).otherwise(col("e_number") == col("e_expected"))
+    status = F.when(~F.coalesce(known, F.lit(False)), "unsupported").when(holds, "valid").otherwise("invalid")
+    reason = F.when(col("e_holds") == "valid", "ok").when(col("e_holds") == "invalid", "invalid_checksum").otherwise("unsupported_checksum")
+    return [
+        {"e_s": F.when(col("e_runs"), view(s["base"], s["start"], s["stop"])), "e_expected": F.when(col("e_runs"), _expected(s))},
+        {"e_n": F.length("e_s"), "e_digits": integers.consists_of(col("e_s"), DIGITS), "e_alnum": F.when(s["kind"] == "mod97", integers.consists_of(col("e_s"), BASE36)).otherwise(F.lit(False))},
+        {"e_read": F.when(col("e_digits") & (n <= MOST_DIGITS), col("e_s").try_cast("bigint"))},
+        # the lambda keeps this stage out of whole-stage code, where the spelling would be one huge method
+        {"e_raw": F.when(s["kind"] == "weighted", F.pmod(total, s["modulus"])).when(s["kind"] == "number", F.pmod(col("e_read"), s["modulus"])), "e_spelt": F.when(col("e_alnum") & (n <= MOST_CHARS), spelt)},
+        {"e_reduced": F.when(s["complement"], integers.complement(col("e_raw"), s["modulus"])).otherwise(col("e_raw"))},
+        {"e_number": F.when(s["remainders"].isNull(), col("e_reduced")).otherwise(integers.remainder_map(col("e_reduced"), s["remainders"]))},
+        {"e_holds": F.when(col("e_runs"), status)},
+        {"e_one": F.when(col("e_runs"), F.struct(col("e_holds").alias("status"), reason.alias("reason_code"), F.when(col("e_holds") == "invalid", s["key"]).alias("message_key")))},
+    ]
+
+
+def outcome(s: Column) -> Column:
+    """valid, invalid or unsupported, with reason and key, for one sum of several."""
+
+    def number(v: Column) -> Column:
+        raw = F.when(s["kind"] == "weighted", F.pmod(integers.weighted_sum(v, s["weights"], s["alignment"], s["alphabet"]), s["modulus"])).otherwise(integers.mod_digits(v, s["modulus"]))
+        return let(raw, lambda r: _finished(r, s))
 
     def luhn(v: Column) -> Column:
-        return result((F.length(v) >= 2) & integers.consists_of(v, DIGITS), luhn_check(v))
+        return _result((F.length(v) >= 2) & integers.consists_of(v, DIGITS), luhn_check(v), s["key"])
 
     def mod97(v: Column) -> Column:
-        return result((F.length(v) >= 3) & integers.consists_of(v, BASE36), outcomes.mod97_remainder(v) == 1)
+        return _result((F.length(v) >= 3) & integers.consists_of(v, BASE36), outcomes.mod97_remainder(v) == 1, s["key"])
 
-    own = view(of, s["base"], s["start"], s["stop"])
-    expected = F.when(s["against"] == "digits", integers.digits_to_integer(view(of, s["d_base"], s["d_start"], s["d_stop"]))).otherwise(s["constant"])
-    compared = let(F.struct(number(s, of).alias("i"), expected.alias("e")), lambda p: result(p["i"].isNotNull() & p["e"].isNotNull(), p["i"] == p["e"]))
-    none = F.struct(F.lit("unsupported").alias("status"), s["reason"].alias("reason_code"), key.alias("message_key"))
+    own = view(s["base"], s["start"], s["stop"])
+    compared = let(F.struct(let(own, number).alias("i"), _expected(s).alias("e")), lambda p: _result(p["i"].isNotNull() & p["e"].isNotNull(), p["i"] == p["e"], s["key"]))
+    none = F.struct(F.lit("unsupported").alias("status"), s["reason"].alias("reason_code"), s["key"].alias("message_key"))
     return F.when(s["kind"] == "unsupported", none).when(s["kind"] == "luhn", let(own, luhn)).when(s["kind"] == "mod97", let(own, mod97)).otherwise(compared)
 
 
@@ -117,19 +174,16 @@ def _first_of(found: Column, order: tuple[str, ...], otherwise: Column) -> Colum
     return F.coalesce(*[first(status) for status in order], otherwise)
 
 
-def checksum(parts: Column, of: Column, profile: Column, listed: Callable[[Column, Column], Column]) -> Column:
-    """All parts must pass; in a part, the first branch that applies decides."""
+def outcome_of_parts() -> Column:
+    """The outcome of r_parts: all must pass; in a part, the first branch that applies decides."""
 
     def applies(b: Column) -> Column:
-        tests = F.forall(b["tests"], lambda t: F.coalesce(test(t, of, profile, listed), F.lit(False)))
-        return tests & F.forall(b["sums"], lambda s: outcome(s, of)["status"] == "valid")
+        tests = F.forall(b["tests"], lambda t: F.coalesce(test(t), F.lit(False)))
+        return tests & F.forall(b["sums"], lambda s: outcome(s)["status"] == "valid")
 
     def part(branches: Column) -> Column:
         chosen = F.get(F.filter(branches, applies), F.lit(0))
-        found = let(chosen, lambda b: _first_of(F.transform(b["any_of"], lambda s: outcome(s, of)), ("valid", "unsupported", "invalid"), outcomes.unsupported().cast(OUTCOME)))
+        found = let(chosen, lambda b: _first_of(F.transform(b["any_of"], outcome), ("valid", "unsupported", "invalid"), outcomes.unsupported().cast(OUTCOME)))
         return F.coalesce(found, outcomes.unsupported().cast(OUTCOME))
 
-    return let(F.transform(parts, part), lambda found: _first_of(found, ("invalid", "unsupported"), outcomes.valid().cast(OUTCOME)))
-
-
-__all__ = ["assertions", "bases", "checksum", "first_failure", "let", "outcome", "test", "view"]
+    return let(F.transform("r_parts", part), lambda found: _first_of(found, ("invalid", "unsupported"), outcomes.valid().cast(OUTCOME)))

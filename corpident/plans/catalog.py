@@ -155,14 +155,14 @@ NATIONAL: dict[tuple[str, str], tuple[Canonical, tuple[Check, ...], Checksum | s
     ),
     ("codice_fiscale_impresa", "IT"): (_PLAIN, plain("it.codice_fiscale_impresa", 11), one(_luhn())),
     ("company_number", "GB"): (_DOTS, plain("company_number", 8, BASE36, check("invalid_format", "company_number.prefix", chars(), Test("listed", View(0, 2), "british"))), NOT_PUBLISHED),
-    ("corporate_number", "JP"): (Canonical(upper=False, remove="-."), plain("corporate_number", 13), one(weighted((1, 2, 1, 2, 1, 2, 1, 2, 1, 2, 1, 2, 1), 9))),
+    ("corporate_number", "JP"): (Canonical(upper=False, remove="-."), plain("corporate_number", 13), one(weighted((1, 2, 1, 2, 1, 2, 1, 2, 1, 2, 1, 2, 1), 9, View(0, 13)))),
     ("cro_number", "IE"): (_PLAIN, plain("ie.cro_number", [(5, 7)]), NOT_PUBLISHED),
     ("cui", "RO"): (_PLAIN, plain("ro.cui", [(2, 10)]), _romanian()),
     ("cvr", "DK"): (_PLAIN, plain("dk.cvr", 8, DIGITS, check("invalid_format", "dk.cvr.leading", ~prefix("0"))), one(weighted((2, 7, 6, 5, 4, 3, 2, 1), 11, View(0, 8)))),
     ("duns", "GLOBAL"): (Canonical(upper=False, remove="-."), plain("duns", 9), NOT_PUBLISHED),
     ("eik", "BG"): (_PLAIN, plain("bg.eik", [(9, 9), (13, 13)]), (_two_pass((1, 2, 3, 4, 5, 6, 7, 8), (3, 4, 5, 6, 7, 8, 9, 10), 8),)),
     ("ein", "US"): (Canonical(upper=False, remove="-"), plain("ein", 9), NOT_PUBLISHED),
-    ("enterprise_number", "BE"): (Canonical(upper=False, remove="-./"), plain("be.enterprise_number", 10, DIGITS, check("invalid_format", "be.enterprise_number.leading", prefix("0"), prefix("1"))), _belgian()),
+    ("enterprise_number", "BE"): (Canonical(upper=False, remove="-./"), plain("be.enterprise_number", 10, DIGITS, check("invalid_format", "be.enterprise_number.leading", at(0, "01"))), _belgian()),
     ("eori", "GLOBAL"): (Canonical(), plain("eori", [(3, 17)], BASE36, check("invalid_format", "eori.country_prefix", chars(UPPER, View(0, 2)))), NOT_PUBLISHED),
     ("firmenbuchnummer", "AT"): (
         Canonical(remove=" -./"),

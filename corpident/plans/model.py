@@ -31,7 +31,7 @@ class View:
 
 @dataclass(frozen=True)
 class Test:
-    op: str  # empty, length, chars, prefix, contains, absent, listed, profile
+    op: str  # empty, length, lengths, chars, prefix, contains, absent, listed, profile
     view: View = View()
     text: str | None = None
     least: int = 0
@@ -140,9 +140,10 @@ def check(reason: str, key: str, *alternatives: Test | Sequence[Test]) -> Check:
 def plain(key: str, lengths: Sequence[tuple[int, int]] | int, alphabet: str = DIGITS, *more: Check) -> tuple[Check, ...]:
     """Not empty, of a length, of characters, and more."""
     spans = [(lengths, lengths)] if isinstance(lengths, int) else lengths
+    fits = length(*spans[0]) if len(spans) == 1 else Test("lengths", text="".join(f"/{n}" for a, b in spans for n in range(a, b + 1)) + "/")
     return (
         check("empty", f"{key}.empty", ~empty()),
-        check("invalid_length", f"{key}.length", *[length(a, b) for a, b in spans]),
+        check("invalid_length", f"{key}.length", fits),
         check("invalid_characters", f"{key}.characters", chars(alphabet)),
         *more,
     )

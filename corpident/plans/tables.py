@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from . import catalog
-from .model import BASES, Branch, Check, Definition, Sum, Test, View
+from .model import BASES, DIGITS, Branch, Check, Definition, Sum, Test, View
 
 TEST = "op string, base int, start int, stop int, text string, least int, most int, negated boolean"
 SUM = (
@@ -26,7 +26,8 @@ CHECK_TYPE = f"struct<alternatives: array<array<{TEST_TYPE}>>, reason: string, k
 BRANCH_TYPE = f"struct<any_of: array<{SUM_TYPE}>, tests: array<{TEST_TYPE}>, sums: array<{SUM_TYPE}>>"
 RULE = (
     "target string, r_country string, r_profile string, r_euid string, r_upper boolean, r_remove string, r_replace string, r_replacement string, r_prepend boolean, "
-    f"r_prefixes array<string>, r_prefix string, r_insert_length int, r_insert_at int, r_insert string, r_checks array<{CHECK_TYPE}>, r_parts array<array<{BRANCH_TYPE}>>, r_absence string"
+    f"r_prefixes array<string>, r_prefix string, r_insert_length int, r_insert_at int, r_insert string, r_empty string, r_length string, r_least int, r_most int, r_lengths string, r_start string, r_starts string, r_chars string, r_alphabet string, r_from int, "
+    f"r_rest array<{CHECK_TYPE}>, r_list string, r_sum {SUM_TYPE}, r_terms array<struct<power: bigint, weight: bigint>>, r_parts array<array<{BRANCH_TYPE}>>, r_absence string"
 )
 
 
@@ -47,6 +48,45 @@ def _check(c: Check) -> tuple:
     return ([[_test(t) for t in a] for a in c.alternatives], c.reason, c.key)
 
 
+#: The checks most definitions begin with, in this order; each may be left out.
+HEAD = {"empty": "empty", "length": "invalid_length", "prefix": "invalid_format", "chars": "invalid_characters"}
+
+
+def _head(checks: tuple[Check, ...]) -> tuple[dict[str, tuple[Test, str]], tuple[Check, ...]]:
+    """The common checks that come first, as operation: (test, key), and the rest."""
+    out: dict[str, tuple[Test, str]] = {}
+    slots = list(HEAD)
+    for i, c in enumerate(checks):
+        t = c.alternatives[0][0]
+        op = "length" if t.op == "lengths" else t.op
+        alone = len(c.alternatives) == len(c.alternatives[0]) == 1 and t.negated == (op == "empty")
+        whole = t.view.base == "whole" and t.view.end is None and (op == "chars" or t.view.start == 0)
+        if not (alone and whole and op in slots and HEAD[op] == c.reason):
+            return out, checks[i:]
+        out[op] = (t, c.key)
+        slots = slots[slots.index(op) + 1 :]
+    return out, ()
+
+
+def _terms(s: Sum) -> list[tuple[int, int]]:
+    """Powers of ten and weights of a sum over a view of known length, or from its right end."""
+    n = len(s.weights)
+    last = n if s.alignment == "right" else (s.view.end or 0) - s.view.start
+    return [(10 ** (last - 1 - i), w) for i, w in enumerate(s.weights)]
+
+
+def _alone(d: Definition) -> Sum | None:
+    """The only sum of a checksum, if it is one that places of a single number can give."""
+    if isinstance(d.checksum, str) or len(d.checksum) != 1 or len(d.checksum[0]) != 1:
+        return None
+    b = d.checksum[0][0]
+    if b.tests or b.sums or len(b.any_of) != 1:
+        return None
+    s = b.any_of[0]
+    known = s.alignment == "right" or (s.alignment == "left" and s.view.end is not None and s.view.end - s.view.start >= len(s.weights))
+    return s if s.kind != "weighted" or (s.alphabet == DIGITS and known) else None
+
+
 def _branch(b: Branch) -> tuple:
     return ([_sum(s) for s in b.any_of], [_test(t) for t in b.tests], [_sum(s) for s in b.sums])
 
@@ -54,11 +94,18 @@ def _branch(b: Branch) -> tuple:
 def _rule(d: Definition) -> tuple:
     c = d.canonical
     parts = None if isinstance(d.checksum, str) else [[_branch(b) for b in part] for part in d.checksum]
+    alone, (head, rest) = _alone(d), _head(d.checks)
+    none = (Test("none"), None)
+    (_, k_empty), (size, k_length), (start, k_start), (body, k_chars) = (head.get(op, none) for op in HEAD)
+    first = (k_empty, k_length, size.least, size.most, size.text, k_start, start.text, k_chars, body.text, body.view.start)
+    listed = {t.text for x in d.checks for a in x.alternatives for t in a if t.op == "listed"}
     replace, insert = c.replace or (None, None), c.insert_when or (None, None, None)
     country = None if d.country == "GLOBAL" else d.country
     return (
         f"{d.kind}/{d.country}", country, d.default_profile, country if d.kind == "euid" else None, c.upper, c.remove, *replace, c.prepend_country,
-        list(d.prefixes), d.prefix, *insert, [_check(x) for x in d.checks], parts, d.checksum if isinstance(d.checksum, str) else None,
+        list(d.prefixes), d.prefix, *insert, *first, [_check(x) for x in rest],
+        next(iter(listed), None), _sum(alone) if alone else None, _terms(alone) if alone and alone.kind == "weighted" else None,
+        None if alone else parts, d.checksum if isinstance(d.checksum, str) else None,
     )
 
 
