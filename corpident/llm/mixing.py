@@ -18,7 +18,7 @@ empty table gives an empty result; other columns are kept by take() and ignored
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ranked, stash, word_count
@@ -76,13 +76,11 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     marked = docs.withColumn("_row", row)
     times = plan(marked, id_col, text_col, source_col, keep=("_row",), **how)
     # rows equal in every column are told apart by nothing, so their copies are summed and shared
-    times = times.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_r")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
-    out = marked.join(times.where("_sum > 0"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")))
-    # each of _rows equal rows is taken _sum div _rows times; the remainder goes to rows by a number drawn within the group
+    times = stash(times.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_r")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows")).where("_sum > 0"), "copies")
+    out = marked.join(times, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")))
     even = F.floor(F.col("_sum") / F.col("_rows"))
-    if marked.join(times.where("_rows > 1").limit(1), F.lit(True), "left_semi").limit(1).count():
-        from pyspark.sql import Window
-
+    if times.where("_rows > 1").limit(1).count():
+        # what is left over after an even share goes to the first of the equal rows
         nth = F.row_number().over(Window.partitionBy("_id", "_r").orderBy("_r"))
         out = out.withColumn("_nth", F.when(F.col("_rows") > 1, nth).otherwise(F.lit(1)))
         even = even + (F.col("_nth") <= F.col("_sum") % F.col("_rows")).cast("long")
