@@ -39,9 +39,9 @@ from .common import partitions
 #: Length of the k-grams that are hashed for anchors, in bytes.
 K = 24
 #: Bytes hashed at a time, about.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: Text bytes in a group and in a bucket, about.
-GROUP_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+GROUP_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 #: k-grams seen in this many groups have their windows dealt one by one.
 HOT_GROUPS = 256
 #: The splitters come from up to so many documents and anchors of each.
@@ -262,6 +262,12 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[n]) for n, c in zip(names, columns)})
 
 
+def _spare(table: pa.Table) -> pa.Table:
+    """The table, once memory that is not in use has gone back."""
+    pa.default_memory_pool().release_unused()
+    return table
+
+
 def _load(table: pa.Table, width: int) -> tuple[Group, pa.Table]:
     """A group and its rows, by id and then text: rows come in any order, and anchors are
     known by their number in the group."""
@@ -284,10 +290,10 @@ def _repeats(g: Group) -> tuple[np.ndarray, np.ndarray]:
     return prints, least < most
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """One row per document: doc_id long, n_bytes long, spans array<struct<start long, stop long>>
-    (maximal removed runs, in bytes), kept binary (the other bytes; with whole, all of them as
-    given), and the columns of keep."""
+    (maximal removed runs, in bytes), kept binary (the other bytes), and the columns of keep.
+    With as_text, kept is a string that loses whole characters only, null where the text is."""
     if not K < width <= K + 31:
         raise ValueError(f"width must lie in {K + 1}..{K + 31}")
     spark = docs.sparkSession
@@ -308,7 +314,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         own = table.column("g")[0].as_py()
         coded = (prints << np.uint64(1)) | multi.astype(np.uint64)
         bucket = (prints % np.uint64(n_buckets)).astype(np.int64)
-        return _table([(own, b, _pack6(coded[i])) for b, i in _deal(bucket)], ["g", "b", "blob"])
+        return _spare(_table([(own, b, _pack6(coded[i])) for b, i in _deal(bucket)], ["g", "b", "blob"]))
 
     def count_prints(table: pa.Table) -> pa.Table:
         groups = table.column("g").to_numpy()
@@ -320,7 +326,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         told = ((n[inverse] > 1) & (multi == 0)) | hot | (np.bincount(inverse, multi)[inverse] > multi)
         i = np.flatnonzero(told)
         coded = (prints[i] << np.uint64(1)) | hot[i].astype(np.uint64)
-        return _table([(g, _pack6(coded[j])) for g, j in _deal(of[i])], ["g", "blob"])
+        return _spare(_table([(g, _pack6(coded[j])) for g, j in _deal(of[i])], ["g", "blob"]))
 
     def send_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -361,7 +367,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                 prints = _row_hash(text[r, span - o : span - o + width])
                 for b, q in _deal((prints[:, 0] % np.uint64(n_buckets)).astype(np.int64)):
                     out.append((own, b, 2, _squeeze(prints[q], doc[r[q]], i[r[q]].astype(np.uint32), np.full(len(q), o, np.uint32))))
-        return _table(out, ["g", "b", "kind", "blob"])
+        return _spare(_table(out, ["g", "b", "kind", "blob"]))
 
     def compare(table: pa.Table) -> pa.Table:
         groups, kinds, blobs = table.column("g").to_numpy(), table.column("kind").to_numpy(), [x.as_py() for x in table.column("blob")]
@@ -381,7 +387,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         for of, place, mask in answers:
             i = np.flatnonzero(mask)
             out += [(g, 1, _squeeze(place[i[j]], mask[i[j]])) for g, j in _deal(of[i])]
-        return _table(out, ["g", "kind", "blob"])
+        return _spare(_table(out, ["g", "kind", "blob"]))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         g, left = _load(left, width)
@@ -395,33 +401,33 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
                 place, own = _unsqueeze(blob.as_py(), 8, "<u4", "<u4")
                 np.bitwise_or.at(mask, place, own)
         mask |= mask[alias]
-        edge = np.zeros(len(g.buf) + 1, np.int32)
+        edge = np.zeros(len(g.buf) + 1, np.int16)
         for o in range(span + 1):
             s = g.at[(mask >> np.uint32(o)) & np.uint32(1) == 1] - o
             np.add.at(edge, s, 1)
             np.add.at(edge, s + width, -1)
-        gone = np.cumsum(edge)[: len(g.buf)] > 0
+        gone = np.cumsum(edge, dtype=np.int16)[: len(g.buf)] > 0
         spans, kept = [], []
-        any_gone = np.concatenate(([0], np.cumsum(gone)))
-        for a, b in zip(g.starts, g.ends):
+        given = left.column("text")
+        for k, (a, b) in enumerate(zip(g.starts, g.ends)):
             own = gone[a:b]
-            if any_gone[b] == any_gone[a]:
-                spans.append([])
-                kept.append(g.buf[a:b].tobytes())
-                continue
-            turns = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
-            spans.append([{"start": int(x), "stop": int(y)} for x, y in turns.reshape(-1, 2)])
-            kept.append(g.buf[a:b][~own].tobytes())
+            turns = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0])))) if own.any() else np.zeros(0, int)
+            runs = [(int(x), int(y)) for x, y in turns.reshape(-1, 2)]
+            spans.append([{"start": x, "stop": y} for x, y in runs])
+            if as_text:
+                kept.append(text_without(given[k].as_py(), runs) if given[k].is_valid else None)
+            else:
+                kept.append((g.buf[a:b][~own] if runs else g.buf[a:b]).tobytes())
         columns = {"doc_id": left.column("id"), "n_bytes": pa.array(g.ends - g.starts, pa.int64())}
-        columns |= {"spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), "kept": left.column("text") if whole else pa.array(kept, pa.binary())}
-        return pa.table(columns | {f"c{i}": left.column(f"c{i}") for i in range(len(keep))})
+        columns |= {"spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), "kept": pa.array(kept, pa.string() if as_text else pa.binary())}
+        return _spare(pa.table(columns | {f"c{i}": left.column(f"c{i}") for i in range(len(keep))}))
 
     prints = dealt.groupBy("g").applyInArrow(send_prints, "g long, b long, blob binary")
     repeats = prints.groupBy("b").applyInArrow(count_prints, "g long, blob binary")
     contexts = dealt.groupBy("g").cogroup(repeats.groupBy("g")).applyInArrow(send_contexts, "g long, b long, kind int, blob binary")
     answers = contexts.groupBy("b").applyInArrow(compare, "g long, kind int, blob binary")
     kinds = dict(rows.dtypes)
-    schema = "doc_id long, n_bytes long, spans array<struct<start: bigint, stop: bigint>>, kept binary" + "".join(f", c{i} {kinds[f'c{i}']}" for i in range(len(keep)))
+    schema = "doc_id long, n_bytes long, spans array<struct<start: bigint, stop: bigint>>, kept " + ("string" if as_text else "binary") + "".join(f", c{i} {kinds[f'c{i}']}" for i in range(len(keep)))
     out = dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(finish, schema)
     return out.select("doc_id", "n_bytes", "spans", "kept", *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)])
 
@@ -466,19 +472,7 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """docs with the repeated strings gone from their texts, in the same columns. Only whole
     characters go; a null text stays null; a text that goes wholly becomes empty."""
     others = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    done = cut(docs, id_col, text_col, width, others, whole=True)
-
-    def run(batches):
-        for batch in batches:
-            text = batch.column("text").to_pylist()
-            spans = batch.column("spans").to_pylist()
-            new = [t if t is None else text_without(t, [(x["start"], x["stop"]) for x in s]) for t, s in zip(text, spans)]
-            columns = {n: batch.column(n) for n in batch.schema.names if n not in ("text", "spans")}
-            yield pa.RecordBatch.from_pydict({"text": pa.array(new, pa.string()), **columns})
-
-    shape = done.select(F.col("kept").alias("text"), "spans", F.col("doc_id").alias("id"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
-    kinds = dict(shape.dtypes)
-    schema = f"text string, id {kinds['id']}" + "".join(f", c{i} {kinds[f'c{i}']}" for i in range(len(others)))
-    out = shape.mapInArrow(run, schema)
-    names = {id_col: "id", text_col: "text"} | {c: f"c{i}" for i, c in enumerate(others)}
-    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns])
+    done = cut(docs.select(*[F.col(c).alias(f"x{i}") for i, c in enumerate((id_col, text_col, *others))]), "x0", "x1", width, tuple(f"x{i + 2}" for i in range(len(others))), as_text=True)
+    kinds = dict(docs.dtypes)
+    names = {id_col: F.col("doc_id").cast(kinds[id_col]), text_col: F.col("kept")} | {c: F.col(f"x{i + 2}") for i, c in enumerate(others)}
+    return done.select(*[names[c].alias(c) for c in docs.columns])
