@@ -60,9 +60,12 @@ def left_pad(length: int, char: str) -> Step:
 
 
 def prepend_country_if_missing(prefixes: Sequence[str] | Column, canonical: str | Column) -> Step:
-    accepted = prefixes if isinstance(prefixes, Column) else F.array(*[F.lit(p) for p in prefixes]).cast("array<string>")
-    own = F.lit(canonical) if isinstance(canonical, str) else canonical
-    return lambda v: F.when(F.exists(accepted, lambda p: F.startswith(v, p)), v).otherwise(F.concat(own, v))
+    def run(v: Column) -> Column:
+        accepted = prefixes if isinstance(prefixes, Column) else F.array(*[F.lit(p) for p in prefixes]).cast("array<string>")
+        own = F.lit(canonical) if isinstance(canonical, str) else canonical
+        return F.when(F.exists(accepted, lambda p: F.startswith(v, p)), v).otherwise(F.concat(own, v))
+
+    return run
 
 
 def when(predicate: Callable[[Column], Column], *each: Step) -> Step:
