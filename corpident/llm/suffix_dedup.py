@@ -43,7 +43,7 @@ BLOCK = 1 << 18
 #: Text bytes in a group and in a bucket, about.
 GROUP_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 #: k-grams seen in this many groups have their windows dealt one by one.
-HOT_GROUPS = 256
+HOT_GROUPS = 1024
 #: The splitters come from up to so many documents and anchors of each.
 SAMPLE_DOCS, SAMPLE_ANCHORS = 2000, 64
 LAST_ID = np.iinfo(np.int64).max
@@ -361,12 +361,12 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             r = j[r]
             out.append((own, b, 1, _squeeze(doc[r], i[r].astype(np.uint32), low[r].astype(np.uint8), high[r].astype(np.uint8), text[r])))
         j = np.flatnonzero(leads & hot[i])
-        for o in range(span + 1):
-            r = j[(low[j] <= o) & (o <= high[j])]
-            if len(r):
-                prints = _row_hash(text[r, span - o : span - o + width])
-                for b, q in _deal((prints[:, 0] % np.uint64(n_buckets)).astype(np.int64)):
-                    out.append((own, b, 2, _squeeze(prints[q], doc[r[q]], i[r[q]].astype(np.uint32), np.full(len(q), o, np.uint32))))
+        windows = [(r, o, _row_hash(text[r, span - o : span - o + width])) for o in range(span + 1) if len(r := j[(low[j] <= o) & (o <= high[j])])]
+        if windows:
+            r, prints = np.concatenate([w[0] for w in windows]), np.concatenate([w[2] for w in windows])
+            of = np.repeat(np.array([w[1] for w in windows], np.uint32), [len(w[0]) for w in windows])
+            for b, q in _deal((prints[:, 0] % np.uint64(n_buckets)).astype(np.int64)):
+                out.append((own, b, 2, _squeeze(prints[q], doc[r[q]], i[r[q]].astype(np.uint32), of[q])))
         return _spare(_table(out, ["g", "b", "kind", "blob"]))
 
     def compare(table: pa.Table) -> pa.Table:
