@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,17 +14,32 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach. Set here only where the session names none."""
+    """The folder every executor can reach. Set here, for this process, only where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='corpident-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        own = tempfile.mkdtemp(prefix="corpident-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{own}")
+        path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/corpident/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/corpident/{what}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this process wrote in the shared folder; tables that still read it are lost."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stash(df: DataFrame, what: str = "table") -> DataFrame:
