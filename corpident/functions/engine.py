@@ -67,24 +67,19 @@ def _upper(c: Column) -> Column:
     return translate(c, LOWER, UPPER)
 
 
-def _canonical(v: Column) -> Column:
-    """The definition's canonicalization of the pre-canonical value, from its rule row."""
-    col = F.col
-    v = F.when(col("r_upper"), _upper(v)).otherwise(v)
-    v = translate(v, col("r_remove"))
-
-    def replaced(x: Column) -> Column:
-        return F.when(F.coalesce(F.startswith(x, col("r_replace")), F.lit(False)), F.concat(col("r_replacement"), F.substring(x, F.length("r_replace") + 1, F.length(x)))).otherwise(x)
-
-    def prepended(x: Column) -> Column:
-        return F.when(~col("r_prepend") | F.exists("r_prefixes", lambda p: F.startswith(x, p)), x).otherwise(F.concat("r_prefix", x))
-
-    def inserted(x: Column) -> Column:
-        at = col("r_insert_at")
-        fits = F.coalesce((F.length(x) == col("r_insert_length")) & consists_of(F.substring(x, at + 1, F.length(x)), "0123456789"), F.lit(False))
-        return F.when(fits, F.concat(F.substring(x, F.lit(1), at), "r_insert", F.substring(x, at + 1, F.length(x)))).otherwise(x)
-
-    return evaluate.let(evaluate.let(evaluate.let(v, replaced), prepended), inserted)
+def _canonical(df: DataFrame) -> DataFrame:
+    """df with e_canonical: the definition's canonicalization of the pre-canonical value."""
+    col, v = F.col, F.col("e_c")
+    df = df.withColumn("e_c", translate(F.when(col("r_upper"), _upper(col("e_pre"))).otherwise(col("e_pre")), col("r_remove")))
+    df = df.withColumn("e_c", F.when(F.startswith(v, col("r_replace")), F.concat(col("r_replacement"), F.substring(v, F.length("r_replace") + 1, F.length(v)))).otherwise(v))
+    # a lambda ends a stage of generated code, here in time: one stage for all would be a method too large for the JIT
+    accepted = F.exists("r_prefixes", lambda p: F.startswith(v, p))
+    df = df.withColumn("e_c", F.when(~col("r_prepend") | accepted, v).otherwise(F.concat("r_prefix", v)))
+    at = col("r_insert_at")
+    fits = (F.length(v) == col("r_insert_length")) & consists_of(F.substring(v, at + 1, F.length(v)), "0123456789")
+    inserted = F.when(fits, F.concat(F.substring(v, F.lit(1), at), "r_insert", F.substring(v, at + 1, F.length(v)))).otherwise(v)
+    early = F.coalesce(col("e_reason").isin("invalid_encoding", "input_too_long", "unsupported_kind"), F.lit(False))
+    return df.withColumn("e_canonical", F.when(early, col("e_value")).when(col("e_reason").isNotNull(), col("e_pre")).otherwise(inserted))
 
 
 def resolve(df: DataFrame, kind: str, value: str, country: str | None, profile: str | Column | None, definitions: list[Definition] | None) -> DataFrame:
@@ -128,17 +123,21 @@ def resolve(df: DataFrame, kind: str, value: str, country: str | None, profile:
     df = df.withColumn("e_reason", reason)
     df = df.withColumn("e_target", F.when(col("e_reason").isNull(), F.coalesce("c_target", "p_target", "k_fallback")))
     df = df.join(F.broadcast(t.rules), col("e_target") == col("target"), "left")
+    df = _canonical(df)
     resolved = F.coalesce("c_country", "e_country_token")
-    early = col("e_reason").isin("invalid_encoding", "input_too_long", "unsupported_kind")
-    # the pre-canonical value is what a definition canonicalizes further
-    return df.withColumns(
-        {
-            "e_kind": F.coalesce("k_kind", "e_token"),
-            "e_canonical": F.when(F.coalesce(early, F.lit(False)), col("e_value")).when(col("e_reason").isNotNull(), col("e_pre")).otherwise(_canonical(col("e_pre"))),
-            "e_country": F.when(F.coalesce(early, F.lit(False)), col("e_raw_country")).when(given & ~shaped, col("e_raw_country")).when(col("e_reason").isNotNull(), resolved).otherwise(F.coalesce("r_country", resolved)),
-            "e_profile": F.coalesce("e_asked", "r_profile", F.lit("compatible")),
-            "e_status": F.when(col("e_reason") == "country_mismatch", "invalid").when(col("e_reason").isNotNull(), "unsupported"),
-        }
+    early = F.coalesce(col("e_reason").isin("invalid_encoding", "input_too_long", "unsupported_kind"), F.lit(False))
+    country_code = F.when(early | (given & ~shaped), col("e_raw_country")).when(col("e_reason").isNotNull(), resolved).otherwise(F.coalesce("r_country", resolved))
+    keep = [c for c in df.columns if c.startswith("r_") or c == "target"]
+    return df.select(
+        "e_row",
+        "e_value",
+        "e_canonical",
+        "e_reason",
+        *keep,
+        F.coalesce("k_kind", "e_token").alias("e_kind"),
+        country_code.alias("e_country"),
+        F.coalesce("e_asked", "r_profile", F.lit("compatible")).alias("e_profile"),
+        F.when(col("e_reason") == "country_mismatch", "invalid").when(col("e_reason").isNotNull(), "unsupported").alias("e_status"),
     )
 
 
@@ -185,23 +184,24 @@ def validate(
     """
     col, lists = F.col, registers or Registers()
     found = resolve(df, kind, value, country, profile, definitions)
-    euid = col("r_euid").isNotNull()
+    spark, euid, selected = df.sparkSession, col("r_euid").isNotNull(), col("target").isNotNull()
     found = found.withColumns({"e_register": F.when(euid, evaluate.register(col("e_canonical"), col("r_euid"))), "e_tail": F.when(euid, evaluate.tail(col("e_canonical")))})
-    found = found.withColumns({"e_listed": lists.listed(), "e_head": F.when(col("target").isNotNull(), _kept(df.sparkSession, "head", evaluate.head_failure))})
-    found = found.withColumn("e_failure", F.when(col("target").isNotNull(), _kept(df.sparkSession, "failure", evaluate.first_failure)))
-    selected, failed, known = col("target").isNotNull(), col("e_failure").isNotNull(), F.coalesce(col("e_failure.known"), F.lit(True))
+    found = found.withColumns({"e_listed": lists.listed(), "e_head": F.when(selected, _kept(spark, "head", evaluate.head_failure))})
+    # what needs lambdas is done in one step, over lists that are joined for it alone
+    nested = _kept(spark, "tables", lambda: tables(spark)) if definitions is None else tables(spark, definitions)
+    found = found.join(F.broadcast(nested.lists), F.when(col("e_head").isNull(), col("target")) == col("l_target"), "left")
+    summed = F.when(col("l_target").isNotNull() & col("r_absence").isNull(), _kept(spark, "checksum", evaluate.checksum)) if run_checksum else F.lit(None).cast(evaluate.OUTCOME)
+    found = found.withColumns({"e_rest": F.when(col("l_rest").isNotNull(), _kept(spark, "rest", evaluate.rest_failure)), "e_sum": summed}).drop("l_target", "l_rest", "l_sum", "l_parts")
+    headless, known = col("e_head").isNotNull(), F.coalesce(col("e_rest.known"), F.lit(True))
+    failed = headless | col("e_rest").isNotNull()
     status = F.when(~selected, col("e_status")).when(failed & known, "invalid").when(failed, "unsupported").otherwise("valid")
-    reason = F.when(~selected, col("e_reason")).when(failed & known, col("e_failure.reason_code")).when(failed, "unsupported_format").otherwise("ok")
-    found = found.withColumn("e_format", _step("format", status, reason, F.when(failed & known, col("e_failure.message_key"))))
+    reason = F.when(~selected, col("e_reason")).when(headless, _kept(spark, "reason", evaluate.head_reason)).when(failed & known, col("e_rest.reason_code")).when(failed, "unsupported_format").otherwise("ok")
+    key = F.when(headless, _kept(spark, "key", evaluate.head_key)).when(failed & known, col("e_rest.message_key"))
+    found = found.withColumn("e_format", _step("format", status, reason, key))
     not_run = lambda why: _step("checksum", F.lit("not_run"), F.lit(why), _blank("string"))
     absent = _step("checksum", F.lit("unsupported"), col("r_absence"), _blank("string"))
     ran = not_run("not_requested")
     if run_checksum:
-        runs = col("target").isNotNull() & col("r_absence").isNull() & (col("e_format.status") == "valid")
-        found = found.withColumn("e_runs", runs & col("r_sum").isNotNull())
-        for stage in _kept(df.sparkSession, "one", evaluate.stages_of_one):
-            found = found.withColumns(stage)
-        found = found.withColumn("e_sum", F.when(runs & col("r_sum").isNull(), _kept(df.sparkSession, "parts", evaluate.outcome_of_parts)).otherwise(col("e_one")))
         ran = F.when(col("r_absence").isNotNull(), absent).otherwise(_step("checksum", col("e_sum.status"), col("e_sum.reason_code"), col("e_sum.message_key")))
     checksum = F.when(col("e_format.status") == "invalid", not_run("not_run_format_invalid")).when(col("e_format.status") == "unsupported", not_run("not_run_format_unsupported")).otherwise(ran)
     found = found.withColumn("e_checksum", checksum)

@@ -1,8 +1,9 @@
 """One expression that evaluates any rule row: its checks, sums and checksums.
 
-What most rules share is plain columns and runs as generated code: the checks they begin with
-and a checksum of one sum. Other checks, and checksums of several parts or branches, are
-nested lists and go through lambdas. Columns read here are those that engine.py names.
+The checks most rules begin with are plain columns and run as generated code. Other checks and
+all checksums are nested lists that go through lambdas, in one step: a chain of projections
+would be copied from stage to stage, or become one method too large for the JIT. Columns
+read here are those that engine.py names.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from corpident.operators.columns import luhn_check
 from corpident.plans.tables import HEAD
 
 OUTCOME = outcomes.TYPE
-#: Digits of one number, and characters that are spelt out, at most.
-MOST_DIGITS, MOST_CHARS = 18, 20
+#: Digits of one number, at most.
+MOST_DIGITS = 18
 BASE_COLUMNS = ("e_canonical", "e_register", "e_tail")
 
 
@@ -78,7 +79,7 @@ def head_failure() -> Column:
     """The name of the first check in HEAD that fails, or NULL."""
     col, s = F.col, F.col("e_canonical")
     body = F.when(col("r_from") == 0, s).when(F.length(s) >= col("r_from"), F.substring(s, col("r_from") + 1, F.length(s)))
-    fits = F.when(col("r_lengths").isNotNull(), _among(F.length(s), col("r_lengths"))).otherwise(F.length(s).between(col("r_least"), col("r_most")))
+    fits = F.exists("r_spans", lambda x: F.length(s).between(x["least"], x["most"]))
     return (
         F.when(col("r_empty").isNotNull() & (s == ""), "empty")
         .when(col("r_length").isNotNull() & ~fits, "length")
@@ -87,22 +88,30 @@ def head_failure() -> Column:
     )
 
 
-def first_failure() -> Column:
-    """The first check that fails, as a struct (reason_code, message_key, known); NULL if none
-    does. known is false where a register list is missing, so that nothing is proven. It reads
-    e_head, the result of head_failure()."""
-    col, head = F.col, F.col("e_head")
-    reason, key = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for op, column in zip(HEAD, ("r_empty", "r_length", "r_start", "r_chars")):
-        reason, key = F.when(head == op, HEAD[op]).otherwise(reason), F.when(head == op, col(column)).otherwise(key)
-    first = F.struct(reason.alias("reason_code"), key.alias("message_key"), F.lit(True).alias("known"))
+def rest_failure() -> Column:
+    """The first check of l_rest that fails, as a struct (reason_code, message_key, known); NULL
+    if none does. known is false where a register list is missing, so that nothing is proven."""
 
     def judged(c: Column) -> Column:
         return F.struct(c["reason"].alias("reason_code"), c["key"].alias("message_key"), F.exists(c["alternatives"], lambda a: F.forall(a, lambda t: test(t))).alias("holds"))
 
-    failed = F.get(F.filter(F.transform("r_rest", judged), lambda c: ~F.coalesce(c["holds"], F.lit(False))), F.lit(0))
-    rest = let(failed, lambda c: F.when(c["reason_code"].isNotNull(), F.struct(c["reason_code"].alias("reason_code"), c["message_key"].alias("message_key"), c["holds"].isNotNull().alias("known"))))
-    return F.when(head.isNotNull(), first).when(F.size("r_rest") > 0, rest)
+    failed = F.get(F.filter(F.transform("l_rest", judged), lambda c: ~F.coalesce(c["holds"], F.lit(False))), F.lit(0))
+    return let(failed, lambda c: F.when(c["reason_code"].isNotNull(), F.struct(c["reason_code"].alias("reason_code"), c["message_key"].alias("message_key"), c["holds"].isNotNull().alias("known"))))
+
+
+def head_reason() -> Column:
+    return _by_head({op: F.lit(reason) for op, reason in HEAD.items()})
+
+
+def head_key() -> Column:
+    return _by_head(dict(zip(HEAD, map(F.col, ("r_empty", "r_length", "r_start", "r_chars")))))
+
+
+def _by_head(what: dict[str, Column]) -> Column:
+    out = F.lit(None).cast("string")
+    for op, c in what.items():
+        out = F.when(F.col("e_head") == op, c).otherwise(out)
+    return out
 
 
 def _finished(r: Column, s: Column) -> Column:
@@ -120,39 +129,17 @@ def _expected(s: Column) -> Column:
     return F.when(s["against"] == "digits", integers.digits_to_integer(view(s["d_base"], s["d_start"], s["d_stop"]))).otherwise(s["constant"])
 
 
-def stages_of_one() -> list[dict[str, Column]]:
-    """Columns to add, stage by stage, up to e_one: the outcome of r_sum. Each stage reads
-    those before it, so that nothing is written out twice in the plan."""
-    col, s = F.col, F.col("r_sum")
-    n = col("e_n")
-    total = F.aggregate("r_terms", F.lit(0).cast("bigint"), lambda sum_, t: sum_ + F.call_function("div", col("e_read"), t["power"]) % 10 * t["weight"])
-    written = F.array(*[F.lit(str(k)) for k in range(36)])
-    spelt = F.concat(*[F.when(n > i, F.get(written, F.instr(F.lit(BASE36), F.substring("e_s", i + 1, 1)) - 1)).otherwise(F.lit("")) for i in range(MOST_CHARS)])
-    r = F.substring("e_spelt", 1, 18).try_cast("bigint") % 97
-    for start in (19, 35):
-        r = F.concat(r.cast("string"), F.substring("e_spelt", start, 16)).try_cast("bigint") % 97
-    known = F.when(s["kind"] == "luhn", (n >= 2) & col("e_digits")).when(s["kind"] == "mod97", (n >= 3) & col("e_alnum")).otherwise(col("e_number").isNotNull() & col("e_expected").isNotNull())
-    holds = F.when(s["kind"] == "luhn", luhn_check(col("e_s"))).when(s["kind"] == "mod97", F.when(n <= MOST_CHARS, r).otherwise(outcomes.mod97_remainder(col("e_s"))) == 1).otherwise(col("e_number") == col("e_expected"))
-    status = F.when(~F.coalesce(known, F.lit(False)), "unsupported").when(holds, "valid").otherwise("invalid")
-    reason = F.when(col("e_holds") == "valid", "ok").when(col("e_holds") == "invalid", "invalid_checksum").otherwise("unsupported_checksum")
-    return [
-        {"e_s": F.when(col("e_runs"), view(s["base"], s["start"], s["stop"])), "e_expected": F.when(col("e_runs"), _expected(s))},
-        {"e_n": F.length("e_s"), "e_digits": integers.consists_of(col("e_s"), DIGITS), "e_alnum": F.when(s["kind"] == "mod97", integers.consists_of(col("e_s"), BASE36)).otherwise(F.lit(False))},
-        {"e_read": F.when(col("e_digits") & (n <= MOST_DIGITS), col("e_s").try_cast("bigint"))},
-        # the lambda keeps this stage out of whole-stage code, where the spelling would be one huge method
-        {"e_raw": F.when(s["kind"] == "weighted", F.pmod(total, s["modulus"])).when(s["kind"] == "number", F.pmod(col("e_read"), s["modulus"])), "e_spelt": F.when(col("e_alnum") & (n <= MOST_CHARS), spelt)},
-        {"e_reduced": F.when(s["complement"], integers.complement(col("e_raw"), s["modulus"])).otherwise(col("e_raw"))},
-        {"e_number": F.when(s["remainders"].isNull(), col("e_reduced")).otherwise(integers.remainder_map(col("e_reduced"), s["remainders"]))},
-        {"e_holds": F.when(col("e_runs"), status)},
-        {"e_one": F.when(col("e_runs"), F.struct(col("e_holds").alias("status"), reason.alias("reason_code"), F.when(col("e_holds") == "invalid", s["key"]).alias("message_key")))},
-    ]
-
-
 def outcome(s: Column) -> Column:
     """valid, invalid or unsupported, with reason and key, for one sum of several."""
 
+    def places(v: Column) -> Column:
+        """A weighted sum of digits as places of one number."""
+        read = F.when(integers.consists_of(v, DIGITS) & (F.length(v) <= MOST_DIGITS), v.try_cast("bigint"))
+        return let(read, lambda n: F.aggregate(s["terms"], F.lit(0).cast("bigint"), lambda total, t: total + F.call_function("div", n, t["power"]) % 10 * t["weight"]))
+
     def number(v: Column) -> Column:
-        raw = F.when(s["kind"] == "weighted", F.pmod(integers.weighted_sum(v, s["weights"], s["alignment"], s["alphabet"]), s["modulus"])).otherwise(integers.mod_digits(v, s["modulus"]))
+        total = F.when(s["terms"].isNotNull(), places(v)).otherwise(integers.weighted_sum(v, s["weights"], s["alignment"], s["alphabet"]))
+        raw = F.when(s["kind"] == "weighted", F.pmod(total, s["modulus"])).otherwise(integers.mod_digits(v, s["modulus"]))
         return let(raw, lambda r: _finished(r, s))
 
     def luhn(v: Column) -> Column:
@@ -175,7 +162,7 @@ def _first_of(found: Column, order: tuple[str, ...], otherwise: Column) -> Colum
 
 
 def outcome_of_parts() -> Column:
-    """The outcome of r_parts: all must pass; in a part, the first branch that applies decides."""
+    """The outcome of l_parts: all must pass; in a part, the first branch that applies decides."""
 
     def applies(b: Column) -> Column:
         tests = F.forall(b["tests"], lambda t: F.coalesce(test(t), F.lit(False)))
@@ -183,7 +170,12 @@ def outcome_of_parts() -> Column:
 
     def part(branches: Column) -> Column:
         chosen = F.get(F.filter(branches, applies), F.lit(0))
-        found = let(chosen, lambda b: _first_of(F.transform(b["any_of"], outcome), ("valid", "unsupported", "invalid"), outcomes.unsupported().cast(OUTCOME)))
+        found = let(chosen, lambda b: _first_of(F.transform(b["any_of"], lambda s: outcome(s)), ("valid", "unsupported", "invalid"), outcomes.unsupported().cast(OUTCOME)))
         return F.coalesce(found, outcomes.unsupported().cast(OUTCOME))
 
-    return let(F.transform("r_parts", part), lambda found: _first_of(found, ("invalid", "unsupported"), outcomes.valid().cast(OUTCOME)))
+    return let(F.transform("l_parts", part), lambda found: _first_of(found, ("invalid", "unsupported"), outcomes.valid().cast(OUTCOME)))
+
+
+def checksum() -> Column:
+    """The outcome of l_sum, or else of l_parts."""
+    return F.when(F.col("l_sum").isNotNull(), let(F.col("l_sum"), lambda s: outcome(s))).otherwise(outcome_of_parts())

@@ -34,8 +34,12 @@ def luhn(s: Column, key: str | None = None) -> Column:
 
 def mod97_remainder(s: Column) -> Column:
     """The number modulo 97 where letters are two digits, A 10 to Z 35."""
-    place = lambda c: (F.instr(F.lit(BASE36), c) - 1).cast("bigint")
-    return F.aggregate(F.split(s, ""), F.lit(0).cast("bigint"), lambda r, c: F.when(c == "", r).when(place(c) < 10, F.pmod(r * 10 + place(c), F.lit(97))).otherwise(F.pmod(r * 100 + place(c), F.lit(97))))
+
+    def step(r: Column, i: Column) -> Column:
+        place = (F.instr(F.lit(BASE36), F.substring(s, i, F.lit(1))) - 1).cast("bigint")
+        return F.pmod(r * F.when(place < 10, F.lit(10)).otherwise(F.lit(100)) + place, F.lit(97))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), F.lit(0).cast("bigint"), step)
 
 
 def mod97_10(s: Column, key: str | None = None) -> Column:
