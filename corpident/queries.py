@@ -35,8 +35,14 @@ def letter(times: int = 7, letters: str = _UP, n: int = 26) -> str:
     return f"substr({letters}, cast((k * {times}) % {n} as int) + 1, 1)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it has fewer partitions than there are; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def source(spark: SparkSession, sf_dir: str, of: tuple[str, str], value: str) -> DataFrame:
-    return _table(spark, sf_dir, of[0]).select(F.expr(f"cast({of[1]} as bigint)").alias("k")).select("k", F.expr(value).alias("value"))
+    return spread(_table(spark, sf_dir, of[0]).select(F.expr(f"cast({of[1]} as bigint)").alias("k"))).select("k", F.expr(value).alias("value"))
 
 
 def source_sql(of: tuple[str, str], value: str) -> str:
