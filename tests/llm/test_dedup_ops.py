@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpident.llm import simhash, suffix_dedup
+from corpident.llm import jaccard, simhash, suffix_dedup
 
 DOC = "doc_id long, text string, source string"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -111,6 +111,66 @@ def test_components_of_long_paths(spark):
     assert all(got.get(i, i) == 0 for i in range(200)) and got[501] == 500
 
 
+def plain_jaccard(rows, k=5):
+    """rows: (id or None, text). The smallest id reachable over pairs of similarity 0.8 or more, for each row."""
+    sets = []
+    for _, t in rows:
+        words = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall((t or "").encode())]
+        sets.append({b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (own, _) in enumerate(rows):
+        if own is not None:
+            least[find(i)] = min(least.get(find(i), own), own)
+    return [least.get(find(i)) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize(("small", "sample"), [(32, 10_000), (2, 50), (2, 1)])
+def test_jaccard_stage_against_brute_force(spark, monkeypatch, small, sample):
+    """Edits around the limit, long shared passages, a dense group, and what has few words."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 5)))
+    passage = [word() for _ in range(60)]
+    found = texts(rng, 40)
+    for n in (20, 60, 100, 300):
+        for _ in range(8):
+            base = [word() for _ in range(n)] + passage * rng.randint(0, 1)
+            found.append(" ".join(base))
+            for edits in (1, 2, 4, 7):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rng.randrange(n)] = word()
+                found.append(" ".join(copy[: rng.randint(len(copy) * 9 // 10, len(copy))]))
+    base = [word() for _ in range(200)]
+    found += [" ".join([*base[:i], word(), *base[i + 1 :]]) for i in range(50)]
+    rows = list(enumerate(found))
+    rng.shuffle(rows)
+    rows += [rows[0], (None, rows[5][1]), (None, "quite alone in this world of texts")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], DOC).withColumns({"v": F.lit("x"), "component_id": F.lit("y"), "n": F.lit(1)})
+    plain = plain_jaccard(rows)
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.near_duplicates(docs).collect())
+    assert got == sorted((str(i), str(c)) for (i, _), c in zip(rows, plain))
+    if small == 32:
+        kept = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert kept.columns == docs.columns
+        assert {r.doc_id for r in kept.collect()} == {i for (i, _), c in zip(rows, plain) if i is None or i == c}
+        assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
 def plain_cut(rows, width=50):
     """rows: (id or None, text). Per row n_bytes, spans, kept."""
     last = 1 << 62
