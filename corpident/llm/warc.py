@@ -126,6 +126,9 @@ class Parser:
                 return
             yield self._row(self.rest[:n])
             self.rest, self.fields = self.rest[n + 4 :], None
+            # a file's last payload ended in a line break: its last piece had no separator after it
+            if piece == b"\r\n" and self.rest == END:
+                self.rest = b""
 
     def _row(self, block: bytes) -> tuple:
         f = self.fields

@@ -88,6 +88,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("text", ["end\r\n", "\r\n", "\r\n\r\n\r\n", "a" * 999 + "\r\n"])
+def test_last_page_of_a_file_ends_in_a_line_break(spark, tmp_path, text):
+    """One file for each page; Spark's reader puts several of them in one partition."""
+    path = f"file://{tmp_path}/w"
+    pages = spark.createDataFrame([(i, "u", text) for i in range(3)], "page_id long, url string, html string").repartitionByRange(3, "page_id")
+    warc.write(pages, path, chunk=1000, min_revisit=1 << 20)
+    got = warc.read(spark, path).where("last").collect()
+    expected = hashlib.sha1(text.encode()).hexdigest()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == [(i, len(text), expected) for i in range(3)]
+
+
 def test_damage_is_seen():
     record = next(warc.records(1, "u", memoryview(b"payload"), hashlib.sha1(b"payload").hexdigest(), None, 100))
     assert len(list(warc.Parser().feed(record))) == 1
