@@ -140,6 +140,20 @@ def test_recall_on_hard_data(spark):
     assert sum(len(set(got[q]) & set(plain[q])) for q in plain) >= 0.9 * 5 * len(plain)
 
 
+def test_near_copies_are_ordered_in_double_precision():
+    """Thousands of near copies, whose cosines single precision cannot tell apart."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=64) + 1e-4 * rng.normal(size=(3000, 64))
+    ids, asked = np.arange(3000), np.arange(0, 3000, 300)
+    got = defaultdict(list)
+    for q, j, _ in ann.search(ids, x, asked, x[asked], 5, ann.TABLES, ann.PROBES, ann.SEED):
+        got[q].append(j)
+    norms = np.linalg.norm(x, axis=1)
+    for q in asked:
+        score = x @ x[q] / (norms * norms[q])
+        assert set(got[q]) == set([j for j in np.argsort(-score) if j != q][:5])
+
+
 def test_ties_and_bad_vectors(spark):
     same = [1.0, 2.0, 3.0]
     rows = [(i, same) for i in range(0, 40)] + [(100, [2.0, 4.0, 6.0]), (101, [0.0, 0.0, 0.0]), (102, None), (103, [1.0, None, 2.0]), (104, [float("nan"), 1.0, 1.0]), (105, [float("inf"), 1.0, 1.0]), (106, [1.0, 1.0]), (None, same), (3, same), (107, [3.0, 1.0, -1.0])]
