@@ -18,9 +18,12 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach. Set here, for this process, only where the session names none."""
+    """The folder every executor can reach. A session without one gets a folder of this machine
+    only if the whole of Spark runs on it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="corpident-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -34,21 +37,36 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes what this process wrote in the shared folder; tables that still read it are lost."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def stash(df: DataFrame, what: str = "table") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and
-    a lost executor costs no recomputation. The files go with the checkpoint folder."""
+    a lost executor costs no recomputation. unstash() deletes it once nothing reads it."""
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stashed = path
+    return table
+
+
+def unstash(*tables: DataFrame) -> None:
+    """Deletes stashed tables, for when all that reads them has itself been written. What is
+    not a stashed table stays."""
+    for table in tables:
+        path = getattr(table, "_stashed", None) if "_stashed" in vars(table) else None
+        if path in _written:
+            _written.remove(path)
+            _delete(table.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -46,6 +46,23 @@ def test_op10(spark):
     assert got == {i: (f"{f:016x}", c) for (i, f), c in zip(fps, plain_components(fps))}
 
 
+def test_op8(spark):
+    import numpy as np
+
+    from tests.llm.test_record_ops import plain_neighbours
+
+    rows = [(r.vec_id, r.embedding) for r in table(spark, "embeddings").collect() if r.embedding is not None]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = {}
+    for r in queries.op8_ann(spark, SF).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        a, b = x[ids == r.query_id][0], x[ids == r.vec_id][0]
+        assert r.score == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), rel=1e-12)
+    plain = plain_neighbours(ids, x, ids % 50 == 0, 5)
+    assert set(got) == set(plain) and all(len(v) == 5 for v in got.values())
+    assert sum(len(set(got[q]) & set(plain[q])) for q in plain) >= 0.9 * 5 * len(plain)
+
+
 def test_op9(spark):
     labels = {r.doc_id: r.quality for r in table(spark, "labels").collect()}
     got = [r for r in queries.op9_quality_classifier(spark, SF).collect() if r.held_out and r.doc_id in labels]

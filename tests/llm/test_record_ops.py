@@ -121,23 +121,46 @@ def test_hadamard_is_orthogonal():
     assert np.allclose(eye @ eye.T, np.eye(16), atol=1e-5)
     turned = ann.rotated(np.eye(8, dtype=np.float32), ann.signs(8, 1, 1)[0])
     assert np.allclose(turned @ turned.T, np.eye(8), atol=1e-5)
-    x = np.random.default_rng(1).normal(size=(20, 8))
-    for row, got in zip(x, ann.vertices(x, 3)):
-        both = np.stack([row, -row], axis=1).ravel()
-        assert set(got) == set(np.argsort(-both)[:3])
+
+
+def test_cells_are_the_nearest_vertices():
+    x = ann.padded(np.random.default_rng(1).normal(size=(20, 6)))
+    turns = ann.signs(8, 2, 3)
+    own, near = ann.cells(x, turns), ann.probed(x, turns, 12)
+    first, second = (ann._sides(x, t) for t in turns)
+    for i in range(len(x)):
+        both = (first[i][:, None] + second[i][None, :]).ravel()
+        assert own[i] == both.argmax() and set(near[i]) == set(np.argsort(-both)[:12])
 
 
 def test_recall_on_hard_data(spark):
+    """Vectors without structure, the hardest there are: few candidates, most of the nearest."""
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(9000, 32)).astype(np.float32)
+    n, dims = 20_000, 64
+    x = rng.normal(size=(n, dims)).astype(np.float32)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
     got = defaultdict(list)
-    for r in ann.neighbours(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
+    for r in ann.neighbours(df, F.col("vec_id") % 200 == 0).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
-        assert r.score == pytest.approx(float(x[r.query_id].astype(float) @ x[r.vec_id].astype(float) / np.linalg.norm(x[r.query_id].astype(float)) / np.linalg.norm(x[r.vec_id].astype(float))))
-    plain = plain_neighbours(np.arange(9000), x.astype(float), np.arange(9000) % 100 == 0, 5)
+        assert r.score == pytest.approx(float(x[r.query_id].astype(float) @ x[r.vec_id].astype(float) / np.linalg.norm(x[r.query_id].astype(float)) / np.linalg.norm(x[r.vec_id].astype(float))), rel=1e-12)
+    asked = np.arange(n) % 200 == 0
+    plain = plain_neighbours(np.arange(n), x.astype(float), asked, 5)
     assert set(got) == set(plain) and all(len(v) == 5 for v in got.values())
     assert sum(len(set(got[q]) & set(plain[q])) for q in plain) >= 0.9 * 5 * len(plain)
+    unit, seen = ann.padded(x), np.zeros((int(asked.sum()), n), bool)
+    for turns in ann.signs(dims, 2 * ann.TABLES, ann.SEED).reshape(ann.TABLES, 2, 3, -1):
+        own = ann.cells(unit, turns)
+        for i, near in enumerate(ann.probed(unit[asked], turns, ann.probes_for(n))):
+            seen[i] |= np.isin(own, near)
+    assert seen.mean() < 0.15
+
+
+def _best(ids, x, asked, k):
+    cell = np.zeros(len(x), np.int32)
+    got = defaultdict(list)
+    for who, own, score in zip(*ann.best(ids, x, cell, x[asked], np.arange(len(asked)), np.zeros(len(asked), np.int32), k)):
+        got[int(ids[asked[who]])].append((int(own), float(score)))
+    return got
 
 
 def test_near_copies_are_ordered_in_double_precision():
@@ -145,13 +168,45 @@ def test_near_copies_are_ordered_in_double_precision():
     rng = np.random.default_rng(3)
     x = rng.normal(size=64) + 1e-4 * rng.normal(size=(3000, 64))
     ids, asked = np.arange(3000), np.arange(0, 3000, 300)
-    got = defaultdict(list)
-    for q, j, _ in ann.search(ids, x, asked, x[asked], 5, ann.TABLES, ann.PROBES, ann.SEED):
-        got[q].append(j)
+    got = _best(ids, x, asked, 6)
     norms = np.linalg.norm(x, axis=1)
     for q in asked:
         score = x @ x[q] / (norms * norms[q])
-        assert set(got[q]) == set([j for j in np.argsort(-score) if j != q][:5])
+        assert {j for j, _ in got[q]} - {q} == set([j for j in np.argsort(-score) if j != q][:5])
+
+
+def test_parallel_vectors_tie_and_the_smaller_ids_win(spark):
+    """More rows tie than any shortlist holds: the query's powers of two, in any order."""
+    rng = np.random.default_rng(4)
+    q = rng.normal(size=64)
+    x = np.concatenate([[q * 2.0 ** (i % 60 - 30) for i in range(150)], rng.normal(size=(300, 64))])
+    for seed in range(5):
+        order = np.random.default_rng(seed).permutation(450)
+        ids = np.argsort(order)  # ids[j]: the id of row j
+        asked = np.array([0])
+        got = [j for j, _ in _best(ids, x, asked, 6)[int(ids[0])] if j != ids[0]][:5]
+        assert got == sorted(i for i in ids[:150] if i != ids[0])[:5]
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    found = ann.neighbours(df, F.col("vec_id") == int(ids[0])).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == got and all(r.score == pytest.approx(1.0, rel=1e-15) for r in found)
+
+
+def test_extreme_components_and_full_blocks(spark, monkeypatch):
+    rows = [(1, [1e300, 1e300, 0.0]), (2, [1e-300, 1e-300, 0.0]), (3, [1e308, 0.0, 0.0]), (4, [5e-324, 5e-324, 5e-324]), (4, [1.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.neighbours(df, F.col("vec_id") == 1).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 12)) for r in found] == [(2, 1.0), (4, 1.0), (3, round(0.5**0.5, 12))]
+    # one direction holds nearly all rows, so its block is dealt over several groups
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.ones((1200, 8)) + 1e-3 * rng.normal(size=(1200, 8)), rng.normal(size=(300, 8))])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.neighbours(df, F.col("vec_id") % 300 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    plain = plain_neighbours(np.arange(1500), x, np.arange(1500) % 300 == 0, 5)
+    assert sum(len(set(got[q]) & set(plain[q])) for q in plain) >= 0.9 * 5 * len(plain)
+    assert all(set(got[q]) == set(plain[q]) for q in plain if q < 1200)
 
 
 def test_ties_and_bad_vectors(spark):
