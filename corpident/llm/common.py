@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,57 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shingle_hashes(text: bytes | None, k: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of k words, in order and with repeats; fewer words are one run, none
+    none. Bytes are split: only A-Z change to a-z, only ASCII white space divides."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    if len(words) > k:
+        starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
+def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows told by the columns: their order, where each run of equal rows starts, and its length."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(order)))
+
+
+def dealt(rows: DataFrame, key: str, member: str, parts: Column, groups: int) -> DataFrame:
+    """rows with g, lo and hi: the rows of a key fall into so many parts by their member, and
+    for each pair of parts (lo <= hi) the rows of both share a group g. Any two rows of a key
+    meet in a group, and no group holds more than two parts of a key."""
+    x = F.pmod(F.xxhash64(member), F.greatest(parts, F.lit(1)))
+    rows = rows.withColumns({"_x": x, "_y": F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(parts, F.lit(1)).cast("long") - 1))})
+    rows = rows.withColumns({"lo": F.least("_x", "_y").cast("int"), "hi": F.greatest("_x", "_y").cast("int")}).drop("_x", "_y")
+    return rows.withColumn("g", F.pmod(F.xxhash64(key, "lo", "hi"), F.lit(groups)))
+
+
+#: Rows of one key that a join sends to one task, about.
+HOT_ROWS = 1 << 20
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, copies: str, by: str) -> DataFrame:
+    """many joined to one on key, where one has a row per key and knows how many rows of many
+    have it (copies): keys of very many rows are dealt over several tasks, by the column by."""
+    hot = stash(one.where(F.col(copies) > 2 * HOT_ROWS).select(key, F.ceil(F.col(copies) / HOT_ROWS).alias("_parts")), "hot")
+    parts = F.coalesce("_parts", F.lit(1))
+    many = many.join(hot, key, "left").withColumn("_s", F.pmod(F.xxhash64(by), parts)).drop("_parts")
+    one = one.drop(copies).join(hot, key, "left").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return many.join(one, [key, "_s"]).drop("_s")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

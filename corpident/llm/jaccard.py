@@ -1,21 +1,17 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
-
-Two documents are linked if the sets of their five-word shingles have a similarity of 0.8 or
-more. Sets that similar share one of the first n - ceil(0.8 n) + 1 shingles of each, in any
-order that is the same for all sets (prefix filter). The order is by how often a bounded sample
-of documents holds a shingle, then by hash, so common passages stay out of the prefixes; the
-sample decides the cost, never the result. Documents of equal sets are one node. Nodes that
-share a prefix shingle, and whose sizes and places leave room for the similarity, are compared
-on their whole sets. No link is lost: a 64-bit hash stands for a shingle and for a set, nothing
-else is approximate. Links go on to connected components.
-
-Distinct near copies of one text are compared pair by pair until they are known to be connected, so a
-cluster of m of them lists about m * m / 2 candidate pairs.
-
-Nulls and edge cases: null and wordless texts have the empty set and link to each other only;
-fewer words than a shingle make one shingle of them all; A-Z count as a-z, only ASCII white
-space splits; repeated rows get equal results; rows with a null id take part, and stay; an empty
-table gives an empty result; other columns are ignored.
+"""The similarity of sets of word shingles, exactly: what simhash.py verifies links by, and
+how it finds the links that fingerprints do not show.
+
+Two sets are similar if they share at least the stated fraction of their union. Sets that
+similar share one of the first n - ceil(fraction n) + 1 shingles of each, in any order that is
+the same for all sets (prefix filter). The order is by how often a bounded sample of documents
+holds a shingle, then by hash, so common passages stay out of the prefixes; the sample decides
+the cost, never the result. Documents of equal sets are one node. A 64-bit hash stands for a
+shingle and for a set; nothing else is approximate.
+
+stars() pairs the nodes of a prefix shingle with a few of them, which connects most groups of
+copies; across() then pairs all nodes of a shingle that are not connected yet, so a group of
+copies never lists all its pairs. Pairs are compared on their whole sets, grouped around
+their first node; a node of very many pairs is dealt over several groups.
 """
 
 from __future__ import annotations
@@ -25,146 +21,207 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stash
-from .simhash import components
+from .common import dealt, partitions, shingle_hashes, stash, unstash
 
-SEED = 42
-SHINGLE = 5
-#: The least similarity, as a fraction.
-NUM, DEN = 4, 5
-#: Documents whose shingles are counted for the order, and counts kept, at most.
+#: Documents whose shingles are counted for the order, about, and counts kept, at most.
 SAMPLE, HOT = 10_000, 1 << 17
 #: Buckets of up to this many members are compared by shifting, larger ones row by row.
 SMALL = 32
-#: Prefix rows of a group of buckets, and pairs of a group of comparisons, about.
-GROUP_ROWS, GROUP_PAIRS = 1 << 19, 1 << 14
+#: Prefix rows of a group of buckets, members of one part of a bucket, and shingles of a group of comparisons, about.
+GROUP_ROWS, PART_ROWS, GROUP_SHINGLES = 1 << 19, 1 << 16, 1 << 21
+#: Nodes of a bucket that the others are first paired with.
+CENTRES = 4
 #: Pairs that a group of buckets collects before it drops repeated ones.
 PENDING = 1 << 21
 
 
-def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
-    """The hashes of the text's shingles, distinct and in order."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(words) > k:
-        starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts)))
+def bits(hashes: np.ndarray) -> int:
+    """The fingerprint: a bit is 1 if more than half of the hashes have it."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        block = hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def digest(own: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(own.astype("<u8").tobytes(), SEED)
+    return xxhash.xxh3_64_intdigest(own.astype("<u8").tobytes(), 42)
 
 
-def prefix(own: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def prefix(own: np.ndarray, hot: np.ndarray, counts: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
     """The shingles of which similar sets share one; hot: hashes in order, with their counts."""
-    n = len(own)
+    n, (num, den) = len(own), similarity
     if not n:
         return own
     if len(hot):
         at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
         own = own[np.argsort(np.where(hot[at] == own, counts[at], 0), kind="stable")]
-    return own[: n - -(-NUM * n // DEN) + 1]
+    return own[: n - -(-num * n // den) + 1]
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-
-
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that several documents of a sample hold, in order, and how many do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingles(t.as_py()) for t in batch.column(1)]
+            own = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], ["key"])
 
     n = texts.count()
-    some = texts.sample(min(1.0, SAMPLE / max(1, n)), SEED).limit(2 * SAMPLE) if n > SAMPLE else texts
-    found = some.mapInArrow(run, "key long").groupBy("key").count().where("count > 1").orderBy(F.desc("count")).limit(HOT).toArrow()
+    some = texts.sample(min(1.0, SAMPLE / max(1, n)), 42) if n > SAMPLE else texts
+    found = some.mapInArrow(run, "key long").groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(HOT).toArrow()
     hot, counts = found.column("key").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(hot)
     return hot[order], counts[order]
 
 
-def sketches(texts: DataFrame, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """One row per document: id long, v long (the set's hash, signed), n int (its size), prefix."""
+def sketches(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """One row per document: id long, v long (the set's hash, signed), n int (its size), fp long, prefix."""
+    hot, counts = common_shingles(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
-            v = np.fromiter((digest(s) for s in sets), np.uint64, len(sets)).view(np.int64)
-            firsts = [prefix(s, hot, counts).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v), pa.array([len(s) for s in sets], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["id", "v", "n", "prefix"])
+            v, n, fp, firsts = [], [], [], []
+            for t in batch.column(1):
+                hashes = shingle_hashes(t.as_py(), shingle)
+                own = np.unique(hashes)
+                v.append(digest(own))
+                n.append(len(own))
+                fp.append(bits(hashes))
+                firsts.append(prefix(own, hot, counts, similarity).view(np.int64))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (v, fp)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(n, pa.int32()), signed[1], pa.array(firsts, pa.list_(pa.int64()))], ["id", "v", "n", "fp", "prefix"])
+
+    return texts.mapInArrow(run, "id long, v long, n int, fp long, prefix array<long>")
+
+
+def shared_prefixes(nodes: DataFrame) -> DataFrame:
+    """nodes: v, n, prefix. One row (key, at, v, n, m) per prefix shingle that m > 1 nodes have."""
+    rows = nodes.select("v", "n", F.posexplode("prefix").alias("at", "key"))
+    return rows.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
 
-    return texts.mapInArrow(run, "id long, v long, n int, prefix array<long>")
 
+class Pairs:
+    """Rows (a, b, w): pairs of nodes that may be similar, and how many shingles both have."""
 
-def bucket_pairs(key: np.ndarray, at: np.ndarray, v: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Rows (v, v), the smaller first: nodes of one key that may be similar. at: the key's place in the prefix."""
-    order = np.lexsort((n, key))
-    key, at, v, n = key[order], at[order].astype(np.int64), v[order], n[order].astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
-    size = np.diff(np.append(first, len(key)))
-    small = np.repeat(size <= SMALL, size)
-    found, pending = [np.zeros((0, 2), np.int64)], 0
+    def __init__(self, at: np.ndarray, v: np.ndarray, n: np.ndarray, similarity: tuple[int, int]):
+        self.at, self.v, self.n, (self.num, self.den) = at, v, n, similarity
+        self.found, self.pending = [np.zeros((0, 3), np.int64)], 0
 
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        # at the first shingle they share, no more than the rest of the shorter list can follow
-        nonlocal found, pending
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        # at a shingle they share first, no more than the rest of the shorter list can follow
+        n, at, v = self.n, self.at, self.v
         most = np.minimum(n[i] - at[i], n[j] - at[j])
-        fits = (NUM + DEN) * most >= NUM * (n[i] + n[j])
+        fits = (self.num + self.den) * most >= self.num * (n[i] + n[j])
         i, j = i[fits], j[fits]
-        found.append(np.stack([np.minimum(v[i], v[j]), np.maximum(v[i], v[j])], axis=1))
-        pending += len(i)
-        if pending > PENDING:
-            found, pending = [np.unique(np.concatenate(found), axis=0)], 0
-
-    for d in range(1, min(SMALL, len(key))):
-        i = np.flatnonzero((key[d:] == key[:-d]) & small[:-d])
-        add(i, i + d)
-    for s, m in zip(first[size > SMALL], size[size > SMALL]):
-        stop = s + np.searchsorted(n[s : s + m], n[s : s + m] * DEN // NUM, side="right")
-        for i in range(s, s + m - 1):
-            j = np.arange(i + 1, stop[i - s])
-            add(np.full(len(j), i), j)
-    return np.unique(np.concatenate(found), axis=0)
+        self.found.append(np.stack([np.minimum(v[i], v[j]), np.maximum(v[i], v[j]), n[i] + n[j]], axis=1))
+        self.pending += len(i)
+        if self.pending > PENDING:
+            self.found, self.pending = [np.unique(np.concatenate(self.found), axis=0)], 0
 
+    def table(self) -> pa.Table:
+        rows = np.unique(np.concatenate(self.found), axis=0)
+        return pa.table({c: pa.array(rows[:, i]) for i, c in enumerate("abw")})
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """nodes: v, n, prefix, distinct. Pairs (a, b) of nodes among which are all similar ones."""
-    total = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    groups = max(partitions(nodes.sparkSession), -(-total // GROUP_ROWS))
-    rows = nodes.select("v", "n", F.posexplode("prefix").alias("at", "key"))
-    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"), "key", "at", "v", "n")
+
+def _groups(shared: DataFrame) -> int:
+    return max(partitions(shared.sparkSession), -(-shared.count() // GROUP_ROWS))
+
+
+def stars(shared: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b, w) of each node with the first few, by hash, of those that share a prefix shingle."""
+    rows = dealt(shared, "key", "v", F.ceil(F.col("m") / PART_ROWS), _groups(shared)).select("g", "key", "lo", "hi", "at", "v", "n")
+
+    def run(table: pa.Table) -> pa.Table:
+        key, lo, hi, at, v, n = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "at", "v", "n"))
+        order, first, size = _by_bucket(np.lexsort((v, hi, lo, key)), key, lo, hi)
+        pairs = Pairs(at[order].astype(np.int64), v[order], n[order].astype(np.int64), similarity)
+        nth = np.arange(len(order)) - np.repeat(first, size)
+        for k in range(CENTRES):
+            j = np.flatnonzero(nth > k)
+            pairs.add(j - nth[j] + k, j)
+        return pairs.table()
+
+    return rows.groupBy("g").applyInArrow(run, "a long, b long, w long").distinct()
+
+
+def _by_bucket(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """order, and where its runs of equal keys start and how long they are."""
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(order)))
+
+
+def bucket_pairs(pairs: Pairs, label: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+    """Adds the pairs of each bucket whose labels differ. Rows of a bucket come in order of n."""
+    run = np.repeat(np.arange(len(size)), size)
+    small = np.repeat(size <= SMALL, size)
+    for d in range(1, min(SMALL, len(label))):
+        i = np.flatnonzero((run[d:] == run[:-d]) & small[:-d] & (label[d:] != label[:-d]))
+        pairs.add(i, i + d)
+    for s, m in zip(first[size > SMALL], size[size > SMALL]):
+        own, n = label[s : s + m], pairs.n[s : s + m]
+        names, which, count = np.unique(own, return_inverse=True, return_counts=True)
+        # all but those of the most common label look at the whole bucket, at each other once
+        few = which.ravel() != count.argmax()
+        low = np.searchsorted(n, -(-n * pairs.num // pairs.den), "left")
+        high = np.searchsorted(n, n * pairs.den // pairs.num, "right")
+        for i in np.flatnonzero(few):
+            j = np.arange(low[i], high[i])
+            j = j[(own[j] != own[i]) & (~few[j] | (j > i))]
+            pairs.add(np.full(len(j), s + i), s + j)
+
+
+def across(shared: DataFrame, labels: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """All pairs (a, b, w) that share a prefix shingle, may be similar, and have different
+    labels. labels: v, label, for nodes that are connected to others."""
+    rows = shared.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    rows = dealt(rows, "key", "v", F.ceil(F.col("m") / PART_ROWS), _groups(shared)).select("g", "key", "lo", "hi", "at", "v", "n", "label")
 
     def run(table: pa.Table) -> pa.Table:
-        pairs = bucket_pairs(*(table.column(c).to_numpy() for c in ("key", "at", "v", "n")))
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        key, lo, hi, at, v, n, label = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "at", "v", "n", "label"))
+        order, first, size = _by_bucket(np.lexsort((v, n, hi, lo, key)), key, lo, hi)
+        pairs = Pairs(at[order].astype(np.int64), v[order], n[order].astype(np.int64), similarity)
+        bucket_pairs(pairs, label[order], first, size)
+        return pairs.table()
 
-    return rows.groupBy("g").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("g").applyInArrow(run, "a long, b long, w long").distinct()
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    return (NUM + DEN) * len(np.intersect1d(x, y, assume_unique=True)) >= NUM * (len(x) + len(y))
+def similar(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) -> bool:
+    num, den = similarity
+    return (num + den) * len(np.intersect1d(x, y, assume_unique=True)) >= num * (len(x) + len(y))
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect what the similar ones of the pairs connect. sets: v, own."""
-    side = 1 + int((pairs.count() / GROUP_PAIRS) ** 0.5)
-    side = max(side, int(partitions(pairs.sparkSession) ** 0.5))
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
-    pairs = pairs.select((spot("a") * side + spot("b")).alias("g"), "a", "b")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("v"), F.col("g").alias("h")).distinct()
+def whole_sets(texts: DataFrame, nodes: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """(v, own) for the nodes asked for, from one document of each."""
+    ids = nodes.join(asked, "v", "left_semi").select(F.col("least_id").alias("_id")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            v = np.fromiter((digest(s) for s in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["v", "own"])
+
+    again = texts.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(run, "v long, own array<long>")
+    return again.join(asked, "v", "left_semi").groupBy("v").agg(F.first("own").alias("own"))
+
+
+def links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) that connect what the similar ones of the pairs (a, b, w) connect."""
+    asked = stash(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "asked")
+    sets = stash(whole_sets(texts, nodes, asked, shingle), "sets")
+    total = pairs.agg(F.sum("w")).first()[0] or 0
+    groups = max(partitions(pairs.sparkSession), -(-total // GROUP_SHINGLES))
+    hubs = pairs.groupBy("a").agg(F.sum("w").alias("w")).where(F.col("w") > GROUP_SHINGLES)
+    hubs = stash(hubs.select("a", F.ceil(F.col("w") / GROUP_SHINGLES).alias("parts")), "hubs")
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
+    cells = stash(pairs.join(hubs, "a", "left").select(F.pmod(F.xxhash64(F.col("a"), part), F.lit(groups)).alias("g"), "a", "b"), "cells")
+    ends = cells.select(F.explode(F.array("a", "b")).alias("v"), F.col("g").alias("h")).distinct()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         of = {v: s.values.to_numpy().view(np.uint64) for v, s in zip(right.column("v").to_pylist(), right.column("own"))}
@@ -178,39 +235,11 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
             x, y = find(a), find(b)
-            if x != y and similar(of[a], of[b]):
+            if x != y and similar(of[a], of[b], similarity):
                 root[x] = y
                 out.append((a, b))
         return pa.table({c: pa.array([e[i] for e in out], pa.int64()) for i, c in enumerate("ab")})
 
-    return pairs.groupBy("g").cogroup(ends.join(sets, "v").groupBy("h")).applyInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, component_id (smallest id linked to it, directly or not)."""
-    texts = _texts(docs, id_col, text_col)
-    rows = stash(sketches(texts, *common_shingles(texts)), "sketches")
-    nodes = stash(rows.groupBy("v").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-    pairs = stash(candidates(nodes.select("v", "n", "prefix")), "pairs")
-    asked = stash(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "asked")
-    ids = rows.join(asked, "v", "left_semi").select(F.col("id").alias("_id")).distinct()
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(1)]
-            v = np.fromiter((digest(s) for s in sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["v", "own"])
-
-    again = texts.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(whole, "v long, own array<long>")
-    sets = stash(again.join(asked, "v", "left_semi").groupBy("v").agg(F.first("own").alias("own")), "sets")
-    found = components(links(pairs, sets))
-    rooted = nodes.join(found, "v", "left").select("v", "least_id", F.coalesce("root", "v").alias("root"))
-    table = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("v", "component_id")
-    return rows.select("id", "v").join(table, "v").select(F.col("id").alias("doc_id"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those near a document of smaller id in their component. Rows with
-    a null id stay; repeated rows of a document that stays do too."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    done = stash(cells.groupBy("g").cogroup(ends.join(sets, "v").groupBy("h")).applyInArrow(run, "a long, b long"), "edges")
+    unstash(asked, sets, hubs, cells)
+    return done

@@ -6,12 +6,20 @@ would need six), so after wiping the right bit of that segment they agree on it.
 distinct fingerprint is indexed under its 64 one-wildcard segment variants, variants are
 equality-grouped, members are verified on all 64 bits, and a spanning forest of the links
 goes on to connected components. Only spanning edges leave a bucket, never all its pairs,
-and each pair is either compared or already known to be connected.
-
-Nulls and edge cases: a null or wordless text has fingerprint zero and links like any other;
-fewer words than a shingle make one shingle of them all; repeated rows stay and get equal
-results; rows with a null id take part, their component is the smallest id reachable (null
-if there is none); an empty table gives an empty result; other columns are ignored.
+and each pair is either compared or already known to be connected. A variant that very many
+fingerprints share is dealt into parts, and each pair of parts is compared in a group of its own.
+
+With similarity, documents are linked by the similarity of their sets of shingles instead of
+by bits. Links of fingerprints are then candidates that are verified on the sets: they find
+most copies at a cost that grows with the documents. Similar sets whose fingerprints lie
+further apart are found exactly, by the prefix filter of jaccard.py, among what is not yet
+connected. No link is lost to the bits.
+
+Nulls and edge cases: a null or wordless text has fingerprint zero (with similarity: the empty
+set) and links like any other; fewer words than a shingle make one shingle of them all;
+repeated rows stay and get equal results; rows with a null id take part, their component is
+the smallest id reachable (null if there is none); an empty table gives an empty result;
+other columns are ignored by near_duplicates and kept by keep_one.
 """
 
 from __future__ import annotations
@@ -20,39 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stash
+from . import jaccard
+from .common import dealt, partitions, runs, shingle_hashes, spread_join, stash, unstash
+from .stars import as_nodes, components
 
-SEED = 42
 #: Segments as (lowest bit, width).
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Buckets of up to this many members are compared by shifting, larger ones by search.
 SMALL = 16
-#: Variant rows that one group of buckets holds, about.
-GROUP_ROWS = 1 << 19
+#: Variant rows that one group of buckets holds, and members of one part of a bucket, about.
+GROUP_ROWS, PART_ROWS = 1 << 19, 1 << 16
 
 
 def fingerprint(text: bytes | None, shingle: int) -> int:
-    words = (text or b"").lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(words) > shingle:
-        starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        block = hashes[i : i + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return jaccard.bits(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -84,16 +76,15 @@ def spanning(fps: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-def bucket_links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
+def bucket_links(keys: tuple[np.ndarray, ...], fp: np.ndarray, max_bits: int) -> np.ndarray:
     """Rows (fp, fp) that connect, within each key, whatever that key's links connect."""
-    order = np.argsort(key, kind="stable")
-    key, fp = key[order], fp[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
-    size = np.diff(np.append(first, len(key)))
+    order, first, size = runs(*keys)
+    fp = fp[order]
+    run = np.repeat(np.arange(len(size)), size)
     small = np.repeat(size <= SMALL, size)
     found = [np.zeros((0, 2), np.uint64)]
-    for d in range(1, min(SMALL, len(key))):
-        i = np.flatnonzero((key[d:] == key[:-d]) & small[:-d])
+    for d in range(1, min(SMALL, len(fp))):
+        i = np.flatnonzero((run[d:] == run[:-d]) & small[:-d])
         i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= max_bits]
         found.append(np.stack([fp[i], fp[i + d]], axis=1))
     for s, n in zip(first[size > SMALL], size[size > SMALL]):
@@ -101,60 +92,81 @@ def bucket_links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0).view(np.int64)
 
 
+def _segment(low: int, width: int) -> Column:
+    return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _variants(part: Column, low: int, width: int) -> list[Column]:
+    return [F.lit((low + i) << 32).bitwiseOR(part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << i)))) for i in range(width)]
+
+
 def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
     """nodes: fp long, distinct. Edges (a, b) between fingerprints; their components are those of all links."""
     if max_bits > 2 * len(SEGMENTS) - 1:
         raise ValueError("three segments cover at most five differing bits")
-    variants = []
+    # a variant joins two values of a segment, so one of very many rows has a value of half as many
+    per = nodes.select(F.explode(F.array(*[F.struct(F.lit(low).alias("low"), _segment(low, width).alias("part")) for low, width in SEGMENTS])).alias("x")).groupBy("x").count()
+    per = per.where(F.col("count") > PART_ROWS // 2).select("x.low", "x.part", "count")
+    keys = F.array().cast("array<bigint>")
     for low, width in SEGMENTS:
-        part = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
-        for i in range(width):
-            mask = ((1 << width) - 1) & ~(1 << i)
-            variants.append(F.lit((low + i) << 32).bitwiseOR(part.bitwiseAND(F.lit(mask))))
+        keys = F.when(F.col("low") == low, F.array(*_variants(F.col("part"), low, width))).otherwise(keys)
+    hot = stash(per.select(F.explode(keys).alias("key"), "count").groupBy("key").agg((F.ceil(F.sum("count") / PART_ROWS) + 1).alias("parts")), "hot")
     groups = max(partitions(nodes.sparkSession), -(-64 * nodes.count() // GROUP_ROWS))
-    rows = nodes.select("fp", F.explode(F.array(*variants)).alias("key"))
-    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("g"), "key", "fp")
+    rows = nodes.select("fp", F.explode(F.array(*[v for low, width in SEGMENTS for v in _variants(_segment(low, width), low, width)])).alias("key"))
+    rows = dealt(rows.join(hot, "key", "left"), "key", "fp", F.coalesce("parts", F.lit(1)), groups).select("g", "key", "lo", "hi", "fp")
 
     def run(table: pa.Table) -> pa.Table:
-        pairs = bucket_links(table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64), max_bits)
+        keys = tuple(table.column(c).to_numpy() for c in ("key", "lo", "hi"))
+        pairs = bucket_links(keys, table.column("fp").to_numpy().view(np.uint64), max_bits)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return rows.groupBy("g").applyInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root): the smallest node reachable from v, for nodes with an edge, by alternating
-    large-star and small-star steps. Every step's table is written, so lineage stays short."""
+def _rooted(nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """key, component_id, copies."""
+    found = found.select(F.col("v.key").alias(key), F.col("root.id").alias("_id"), F.lit(True).alias("_linked"))
+    return nodes.join(found, key, "left").select(key, F.when(F.col("_linked"), F.col("_id")).otherwise(F.col("least_id")).alias("component_id"), "copies")
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = state(now)
-    while True:
-        both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = stash(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
-        was, seen = seen, state(now)
-        if was == seen:
-            return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """One row per document: doc_id, fp long, component_id (smallest id linked to it, directly or not)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """One row per document: doc_id, fp long, component_id (smallest id linked to it, directly
+    or not). Links are fingerprints of at most max_bits differing bits or, with similarity (a
+    fraction), sets of shingles that similar."""
+    if similarity is not None:
+        return _similar(docs, id_col, text_col, shingle, max_bits, similarity)
     fps = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = stash(fps.groupBy("fp").agg(F.min("id").alias("least_id")), "nodes")
-    found = components(links(nodes.select("fp"), max_bits))
-    rooted = nodes.join(found, nodes.fp == found.v, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    table = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(table, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    nodes = stash(fps.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "nodes")
+    edges = stash(links(nodes.select("fp"), max_bits), "links")
+    table = stash(_rooted(nodes, components(as_nodes(edges, nodes, "fp")), "fp"), "components")
+    unstash(nodes, edges)
+    return spread_join(fps, table, "fp", "copies", "id").select(F.col("id").alias("doc_id"), "fp", "component_id")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, similarity: tuple[int, int]) -> DataFrame:
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = stash(jaccard.sketches(texts, shingle, similarity), "sketches")
+    nodes = stash(rows.groupBy("v").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "nodes")
+    rows = rows.select("id", "v", "fp")
+    # by fingerprint: one set stands for all of its fingerprint, and fingerprints are linked
+    heads = stash(nodes.groupBy("fp").agg(F.min(F.struct("v", "n")).alias("head")).select("fp", "head.v", "head.n"), "heads")
+    near = stash(links(heads.select("fp"), max_bits), "links")
+    same = nodes.select("fp", F.col("v").alias("b"), F.col("n").alias("m")).join(heads, "fp").select(F.col("v").alias("a"), "b", F.col("n") + F.col("m"))
+    other = heads.select(F.col("fp").alias("b"), F.col("v").alias("y"), F.col("n").alias("m"))
+    linked = near.join(heads.withColumnRenamed("fp", "a"), "a").join(other, "b").select(F.col("v").alias("a"), F.col("y").alias("b"), F.col("n") + F.col("m"))
+    shared = stash(jaccard.shared_prefixes(nodes), "shared")
+    first = stash(same.union(linked).toDF("a", "b", "w").where("a <> b").union(jaccard.stars(shared, similarity)).distinct(), "pairs")
+    edges = jaccard.links(first, texts, nodes, shingle, similarity)
+    labels = components(as_nodes(edges, nodes, "v"))
+    second = stash(jaccard.across(shared, labels.select(F.col("v.key").alias("v"), F.col("root.key").alias("label")), similarity), "pairs")
+    more = jaccard.links(second, texts, nodes, shingle, similarity)
+    table = stash(_rooted(nodes, components(as_nodes(edges.union(more), nodes, "v")), "v"), "components")
+    unstash(nodes, heads, near, shared, first, second, edges, more)
+    return spread_join(rows, table, "v", "copies", "id").select(F.col("id").alias("doc_id"), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, similarity: tuple[int, int] | None = None) -> DataFrame:
     """The documents without those near a document of smaller id in their component. Rows with
     a null id stay; repeated rows of a document that stays do too."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, shingle, max_bits, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -72,9 +72,10 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bits", [1, 2, 4])
-def test_variants_find_every_link(spark, bits):
-    """Chains at the very limit, dense groups, and random fingerprints."""
+@pytest.mark.parametrize(("bits", "part"), [(1, 1 << 16), (2, 8), (4, 1 << 16), (4, 8)])
+def test_variants_find_every_link(spark, monkeypatch, bits, part):
+    """Chains at the very limit, dense groups, and random fingerprints; buckets whole and in parts."""
+    monkeypatch.setattr(simhash, "PART_ROWS", part)
     rng = random.Random(bits)
     fps = set()
     for _ in range(40):
@@ -103,6 +104,16 @@ def test_spanning_connects_what_links_connect():
     assert all(np.bitwise_count(fps[a] ^ fps[b]) <= 4 for a, b in edges)
 
 
+def test_keys_of_very_many_rows_are_dealt_over_tasks(spark, monkeypatch):
+    from corpident.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    many = spark.range(100).select("id", F.when(F.col("id") < 60, 0).otherwise(F.col("id") % 7).alias("key"))
+    one = many.groupBy("key").agg(F.count("*").alias("copies"), F.max("id").alias("top"))
+    plain = sorted(map(tuple, many.join(one.drop("copies"), "key").select("id", "key", "top").collect()))
+    assert sorted(map(tuple, common.spread_join(many, one, "key", "copies", "id").select("id", "key", "top").collect())) == plain
+
+
 def test_components_of_long_paths(spark):
     order = list(range(200))
     random.Random(4).shuffle(order)
@@ -135,13 +146,16 @@ def plain_jaccard(rows, k=5):
     return [least.get(find(i)) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize(("small", "sample"), [(32, 10_000), (2, 50), (2, 1)])
-def test_jaccard_stage_against_brute_force(spark, monkeypatch, small, sample):
+@pytest.mark.parametrize(("small", "sample", "part"), [(32, 10_000, 1 << 16), (2, 50, 8), (2, 1, 1 << 16)])
+def test_similarity_against_brute_force(spark, monkeypatch, small, sample, part):
     """Edits around the limit, long shared passages, a dense group, and what has few words."""
     import corpus_pipeline
 
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    monkeypatch.setattr(jaccard, "PART_ROWS", part)
+    monkeypatch.setattr(jaccard, "GROUP_SHINGLES", 40 * part)
+    monkeypatch.setattr(simhash, "PART_ROWS", part)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 5)))
     passage = [word() for _ in range(60)]
@@ -162,13 +176,13 @@ def test_jaccard_stage_against_brute_force(spark, monkeypatch, small, sample):
     rows += [rows[0], (None, rows[5][1]), (None, "quite alone in this world of texts")]
     docs = spark.createDataFrame([(i, t, "s") for i, t in rows], DOC).withColumns({"v": F.lit("x"), "component_id": F.lit("y"), "n": F.lit(1)})
     plain = plain_jaccard(rows)
-    got = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard.near_duplicates(docs).collect())
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(docs, shingle=5, similarity=(4, 5)).collect())
     assert got == sorted((str(i), str(c)) for (i, _), c in zip(rows, plain))
     if small == 32:
         kept = corpus_pipeline.near_duplicates(spark, docs, "")
         assert kept.columns == docs.columns
         assert {r.doc_id for r in kept.collect()} == {i for (i, _), c in zip(rows, plain) if i is None or i == c}
-        assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+        assert simhash.near_duplicates(docs.limit(0), shingle=5, similarity=(4, 5)).count() == 0
 
 
 def plain_cut(rows, width=50):
