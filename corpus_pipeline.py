@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpident.llm import jaccard, mixing, packing, quality_classifier, suffix_dedup
+from corpident.llm import mixing, packing, quality_classifier, simhash, suffix_dedup
 from corpident.llm.common import stash
 
 
@@ -15,7 +15,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id in each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return jaccard.keep_one(docs)
+    return simhash.keep_one(docs, shingle=5, similarity=(4, 5))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
