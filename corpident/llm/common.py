@@ -71,6 +71,12 @@ def unstash(*tables: DataFrame) -> None:
             _delete(table.sparkSession, path)
 
 
+def check_keep(keep: tuple[str, ...], taken: tuple[str, ...]) -> None:
+    """Carried columns come back under their own names, so those must not be the result's."""
+    if clash := [c for c in keep if c in taken]:
+        raise ValueError(f"rename {', '.join(clash)} first: the result has columns of these names")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -116,7 +122,7 @@ def dealt(rows: DataFrame, key: str, member: str, parts: Column, groups: int) ->
 HOT_ROWS = 1 << 20
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: str, copies: str, by: str) -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: str, copies: str, by: str | Column) -> DataFrame:
     """many joined to one on key, where one has a row per key and knows how many rows of many
     have it (copies): keys of very many rows are dealt over several tasks, by the column by."""
     hot = stash(one.where(F.col(copies) > 2 * HOT_ROWS).select(key, F.ceil(F.col(copies) / HOT_ROWS).alias("_parts")), "hot")

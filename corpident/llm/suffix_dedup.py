@@ -17,14 +17,17 @@ for them by its context and a range of offsets.
    quicksort, takes the common prefixes of neighbours, and finds for each offset the smallest
    document among equal windows. Splitters are whole k-grams and compared as such, so a run
    of equal leading bytes never straddles a boundary and the comparison across boundaries is
-   void. Runs that would be too long for a bucket (k-grams seen in many groups) are cut up:
-   their windows are dealt by a 128-bit hash of the whole window instead.
+   void. There are at most N_RANGES ranges; beyond that, ranges are dealt over several
+   buckets by a hash of the k-gram, which keeps equal ones together. Runs that would be too
+   long for a bucket (k-grams seen in many groups) are cut up: their whole windows are dealt
+   by a hash and then compared byte by byte.
 4. Each group gets its anchors' answers back and cuts its documents.
 
 Nulls and edge cases: a null text is empty; rows with a null id count as later than all ids;
 rows of equal id never cut each other; equal strings inside one document stay; repeated rows
-stay and are cut alike; an empty table gives an empty result; other columns are carried only
-if named in keep.
+stay and are cut alike; an empty table gives an empty result; other columns are carried by
+cut_texts, whatever their names, and by cut only if named in keep, which may not name a
+column of the result. Rows equal in id and text are read by one task.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import check_keep, partitions
 
 #: Length of the k-grams that are hashed for anchors, in bytes.
 K = 24
@@ -44,6 +47,8 @@ BLOCK = 1 << 18
 GROUP_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 #: k-grams seen in this many groups have their windows dealt one by one.
 HOT_GROUPS = 1024
+#: Ranges that splitters make, at most.
+N_RANGES = 4096
 #: The splitters come from up to so many documents and anchors of each.
 SAMPLE_DOCS, SAMPLE_ANCHORS = 2000, 64
 LAST_ID = np.iinfo(np.int64).max
@@ -186,9 +191,7 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
 def _sorted_prefixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the byte rows of text, and for each but the first the prefix shared with the one before."""
     n, w = text.shape
-    padded = np.zeros((n, -(-w // 8) * 8), np.uint8)
-    padded[:, :w] = text
-    order = multikey_quicksort(padded.view(">u8").astype(np.uint64))
+    order = multikey_quicksort(_words(text))
     shared = np.zeros(max(n - 1, 0), np.int64)
     for i in range(0, n - 1, 1 << 16):
         rows = text[order[i : i + (1 << 16) + 1]]
@@ -241,18 +244,31 @@ def _contexts(g: Group, i: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
     return out
 
 
-def _row_hash(rows: np.ndarray) -> np.ndarray:
-    """128 bits of each row of bytes, as two words."""
+def _words(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of big-endian words, zeros after them."""
     padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
     padded[:, : rows.shape[1]] = rows
-    words = padded.view("<u8")
-    out = np.zeros((len(rows), 2), np.uint64)
-    for lane in (0, 1):
-        h = np.full(len(rows), _M[lane])
-        for c in range(words.shape[1]):
-            h = (h ^ words[:, c]) * _M[2 - lane]
-            h ^= h >> _S[4 + lane]
-        out[:, lane] = _mix(h)
+    return padded.view(">u8").astype(np.uint64)
+
+
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    """64 bits of each row of bytes."""
+    h = np.full(len(rows), _M[0])
+    for word in _words(rows).T:
+        h = (h ^ word) * _M[2]
+        h ^= h >> _S[4]
+    return _mix(h)
+
+
+def _equal_rows(rows: np.ndarray) -> np.ndarray:
+    """A number for each row of bytes, the same for rows that are equal in all of them."""
+    words = _words(rows)
+    order = multikey_quicksort(words)
+    new = np.zeros(len(rows), np.int64)
+    if len(rows):
+        new[1:] = (words[order][1:] != words[order][:-1]).any(axis=1)
+    out = np.zeros(len(rows), np.int64)
+    out[order] = np.cumsum(new)
     return out
 
 
@@ -294,6 +310,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     """One row per document: doc_id long, n_bytes long, spans array<struct<start long, stop long>>
     (maximal removed runs, in bytes), kept binary (the other bytes), and the columns of keep.
     With as_text, kept is a string that loses whole characters only, null where the text is."""
+    check_keep(keep, ("doc_id", "n_bytes", "spans", "kept"))
     if not K < width <= K + 31:
         raise ValueError(f"width must lie in {K + 1}..{K + 31}")
     spark = docs.sparkSession
@@ -302,8 +319,11 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     n_docs, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = partitions(spark)
     n_groups, n_buckets = max(1, -(-n_bytes // GROUP_BYTES)), max(1, min(parts, n_docs), -(-n_bytes // BUCKET_BYTES))
-    splitters = _splitters(rows, n_docs, n_buckets, width)
-    group = F.pmod(F.xxhash64("id"), F.lit(n_groups)).alias("g")
+    splitters = _splitters(rows, n_docs, min(n_buckets, N_RANGES), width)
+    per_range = -(-n_buckets // N_RANGES)
+    n_buckets = per_range * min(n_buckets, N_RANGES)
+    # by the text too, so that rows of one id, or none, do not all meet
+    group = F.pmod(F.xxhash64("id", "text"), F.lit(n_groups)).alias("g")
     dealt = rows.select(group, "*").repartition(parts, "g")
     span = width - K
     context = span + width
@@ -341,7 +361,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         text = _contexts(g, i, low, high)
         # identical contexts: the smallest document goes on, for its other places too
         full = np.concatenate([text, low[:, None].astype(np.uint8), high[:, None].astype(np.uint8)], axis=1)
-        hashes = _row_hash(full)[:, 0]
+        hashes = _row_hash(full)
         order = np.lexsort((doc, hashes))
         head = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])) if len(i) else np.zeros(0, bool)
         lead = np.zeros(len(i), np.int64)
@@ -357,16 +377,16 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         leads = lead == np.arange(len(i))
         j = np.flatnonzero(leads & ~hot[i])
         kgram = np.ascontiguousarray(text[j, span : span + K]).view(f"S{K}").ravel()
-        for b, r in _deal(np.searchsorted(splitters, kgram, "right").astype(np.int64)):
+        part = (g.prints[i[j]] % np.uint64(per_range)).astype(np.int64)
+        for b, r in _deal(np.searchsorted(splitters, kgram, "right").astype(np.int64) * per_range + part):
             r = j[r]
             out.append((own, b, 1, _squeeze(doc[r], i[r].astype(np.uint32), low[r].astype(np.uint8), high[r].astype(np.uint8), text[r])))
         j = np.flatnonzero(leads & hot[i])
-        windows = [(r, o, _row_hash(text[r, span - o : span - o + width])) for o in range(span + 1) if len(r := j[(low[j] <= o) & (o <= high[j])])]
-        if windows:
-            r, prints = np.concatenate([w[0] for w in windows]), np.concatenate([w[2] for w in windows])
-            of = np.repeat(np.array([w[1] for w in windows], np.uint32), [len(w[0]) for w in windows])
-            for b, q in _deal((prints[:, 0] % np.uint64(n_buckets)).astype(np.int64)):
-                out.append((own, b, 2, _squeeze(prints[q], doc[r[q]], i[r[q]].astype(np.uint32), of[q])))
+        for o in range(span + 1):
+            if len(r := j[(low[j] <= o) & (o <= high[j])]):
+                window = text[r, span - o : span - o + width]
+                for b, q in _deal((_row_hash(window) % np.uint64(n_buckets)).astype(np.int64)):
+                    out.append((own, b, 2, _squeeze(doc[r[q]], i[r[q]].astype(np.uint32), np.full(len(q), o, np.uint32), window[q])))
         return _spare(_table(out, ["g", "b", "kind", "blob"]))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -379,11 +399,10 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             doc, place, low, high, text = (np.concatenate(x) for x in zip(*parts))
             answers.append((of, place, resolve(text, low, high, doc, width)))
         if len(own := np.flatnonzero(kinds == 2)):
-            parts = [_unsqueeze(blobs[x], 32, "<u8:2", "<i8", "<u4", "<u4") for x in own]
-            of = np.repeat(groups[own], [len(p[1]) for p in parts])
-            prints, doc, place, o = (np.concatenate(x) for x in zip(*parts))
-            _, key = np.unique(prints, axis=0, return_inverse=True)
-            answers.append((of, place, np.where(_earlier(key.ravel(), doc), np.uint32(1) << o, 0).astype(np.uint32)))
+            parts = [_unsqueeze(blobs[x], 16 + width, "<i8", "<u4", "<u4", f"u1:{width}") for x in own]
+            of = np.repeat(groups[own], [len(p[0]) for p in parts])
+            doc, place, o, window = (np.concatenate(x) for x in zip(*parts))
+            answers.append((of, place, np.where(_earlier(_equal_rows(window), doc), np.uint32(1) << o, 0).astype(np.uint32)))
         for of, place, mask in answers:
             i = np.flatnonzero(mask)
             out += [(g, 1, _squeeze(place[i[j]], mask[i[j]])) for g, j in _deal(of[i])]
