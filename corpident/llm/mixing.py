@@ -13,15 +13,16 @@ never collected; each round is one small aggregate.
 Nulls and edge cases: a null or wordless text has size 0, is expected like the others and
 adds nothing; a source of size 0 has target 0 and gives no copies; the null source is the
 last; rows with a null id come first among equal sizes; repeated rows count one by one; an
-empty table gives an empty result; other columns are kept by take() and ignored by plan().
+empty table gives an empty result; other columns, whatever their names, are kept by take() and
+ignored by plan(), where keep may not name a column of the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, stash, word_count
+from .common import check_keep, ranked, spread_join, stash, word_count
 
 #: Weights in the code point order of sources, repeating.
 WEIGHTS = (3, 1, 2)
@@ -54,6 +55,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent:
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, cap: int = CAP, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, and keep."""
+    check_keep(keep, ("doc_id", "source", "size", "source_size", "target", "copies"))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
     sized = stash(sized, "sizes")
     goals = targets(sized.select("source", "size"), weights, share_percent, cap)
@@ -72,17 +74,23 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, in the same columns."""
-    row = F.xxhash64(*[F.col(c) for c in docs.columns])
-    marked = docs.withColumn("_row", row)
-    times = plan(marked, id_col, text_col, source_col, keep=("_row",), **how)
-    # rows equal in every column are told apart by nothing, so their copies are summed and shared
-    times = stash(times.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_r")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows")).where("_sum > 0"), "copies")
-    out = marked.join(times, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")))
-    even = F.floor(F.col("_sum") / F.col("_rows"))
-    if times.where("_rows > 1").limit(1).count():
-        # what is left over after an even share goes to the first of the equal rows
-        nth = F.row_number().over(Window.partitionBy("_id", "_r").orderBy("_r"))
-        out = out.withColumn("_nth", F.when(F.col("_rows") > 1, nth).otherwise(F.lit(1)))
-        even = even + (F.col("_nth") <= F.col("_sum") % F.col("_rows")).cast("long")
-    out = out.withColumn("_times", even.cast("int")).where("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    # the row travels in one struct, so that no name of the caller's can clash
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.col(f"`{text_col}`").alias("text"),
+        F.col(f"`{source_col}`").alias("source"),
+        F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash")).alias("key"),
+    )
+    planned = plan(rows, "id", "text", "source", keep=("key",), **how)
+    # rows equal in every column are told apart by nothing: their copies are summed, shared
+    # evenly, and what is left over goes to one of them
+    times = planned.groupBy("key").agg(F.sum("copies").alias("taken"), F.count("*").alias("rows")).where("taken > 0")
+    times = stash(times.select("key", "rows", F.floor(F.col("taken") / F.col("rows")).alias("each"), (F.col("taken") % F.col("rows")).alias("rest")), "copies")
+    own = rows.select("row", "key")
+    many = spread_join(own, times.where("each > 0").select("key", "rows", "each"), "key", "rows", F.rand(0)).select("row", F.col("each").alias("n"))
+    if times.where("rest > 0 and rows > 1").limit(1).count():
+        over = own.join(times.where("rest > 0 and rows > 1").select("key"), "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+        many = many.union(over.join(times.select("key", "rest"), "key").select("row", F.col("rest").alias("n")))
+    out = many.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread_join
+
 CHUNK = 1 << 20
 MIN_REVISIT = 1000
 END = b"\r\n\r\n"
@@ -42,9 +44,9 @@ CHUNKS = "record_id string, page_id long, record_type string, refers_to long, ch
 def duplicates(pages: DataFrame, id_col: str, payload: Column, min_revisit: int) -> DataFrame:
     """(_page, _digest, refers_to) of the rows whose payload another row of larger id has."""
     rows = pages.select(F.col(id_col).cast("long").alias("_page"), F.sha1(payload).alias("_digest"), F.octet_length(payload).alias("n")).where((F.col("n") >= min_revisit) & F.col("_page").isNotNull())
-    rows = rows.groupBy("_page", "_digest", "n").count()  # repeated rows once
-    top = rows.groupBy("_digest", "n").agg(F.max("_page").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1")
-    return rows.join(top, ["_digest", "n"]).where("_page <> refers_to").select("_page", "_digest", "refers_to")
+    rows = rows.select("_page", "_digest").distinct()  # repeated rows once
+    top = rows.groupBy("_digest").agg(F.max("_page").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1")
+    return spread_join(rows, top, "_digest", "rows", "_page").where("_page <> refers_to").select("_page", "_digest", "refers_to")
 
 
 def record_id(page: int | None, digest: str, nth: int) -> str:

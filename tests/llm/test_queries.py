@@ -6,8 +6,9 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from corpident.llm import queries
+from corpident.llm import packing, queries, token_counts
 from tests.llm.test_dedup_ops import plain_components, plain_cut, plain_fingerprint, plain_jaccard
 
 SF = "/root/testdata/sf0.001"
@@ -70,8 +71,6 @@ def test_op9(spark):
 
 
 def test_op4(spark):
-    from corpident.llm import token_counts
-
     with open(token_counts.VOCABULARY, "rb") as f:
         count = token_counts.counter(f.read())
     rows = table(spark, "documents").select("doc_id", "text", queries.op4_edits().alias("edits")).collect()
@@ -119,10 +118,49 @@ def test_pipeline_stages(spark):
         was = {r.doc_id: r.text for r in rows}
         last = rows
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
-    words = Counter()
-    for r in last:
-        words[r.doc_id] += len(r.text.split(" ")) and len([w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", r.text)])
-    total = Counter()
-    for r in packed:
-        total[r.doc_id] += r.length
-    assert total == +words
+    with open(token_counts.VOCABULARY, "rb") as f:
+        encode = token_counts.counter(f.read()).encode
+    assert Counter((r.doc_id, r.start + i, t) for r in packed for i, t in enumerate(r.tokens)) == Counter((r.doc_id, i, t) for r in last for i, t in enumerate(encode(r.text or "")))
+    assert all(r.length == len(r.tokens) <= r.padded for r in packed)
+
+
+def test_op3(spark):
+    """The whole query against a plain version: the same pieces, boundaries, order and batches."""
+    with open(token_counts.VOCABULARY, "rb") as f:
+        encode = token_counts.counter(f.read()).encode
+    plain = []
+    for r in table(spark, "documents").collect():
+        own = encode(r.text or "")
+        plain += [(len(own[a : a + packing.MAX_LEN]), r.doc_id, a // packing.MAX_LEN, own[a : a + packing.MAX_LEN]) for a in range(0, len(own), packing.MAX_LEN)]
+    ends = packing.boundaries(list(Counter(p[0] for p in plain).items()), packing.N_BUCKETS)
+    expected, nth = {}, Counter()
+    for n, i, piece, own in sorted(plain):
+        padded = next(e for e in ends if n <= e)
+        room = packing.BUDGET // padded
+        expected[i, piece] = (n, padded, nth[padded] // room, nth[padded] % room, own)
+        nth[padded] += 1
+    got = {(r.doc_id, r.piece): (r.length, r.padded, r.batch, r.slot, list(r.tokens)) for r in queries.op3_packing(spark, SF).collect()}
+    assert got == expected
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in every column, repeated rows, ties and columns of clashing names, stage by stage."""
+    import corpus_pipeline
+
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    rows = docs.limit(12).union(docs.limit(3)).collect()
+    odd = [tuple(None for _ in docs.columns), *[tuple(None if c == gone else r[c] for c in docs.columns) for gone in docs.columns for r in rows[:3]], *map(tuple, rows)]
+    names = ["row", "id", "v", "g", "n", "key", "score", "kept", "copies", "component_id", "tokens", "_gone", "spans", "c0", "x0"]
+    for own in (docs.limit(0), spark.createDataFrame(odd, docs.schema).withColumns({c: F.lit(c) for c in names})):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            done = stage(spark, own, str(tmp_path))
+            assert done.columns == own.columns, name
+            got = done.collect()
+            if own.columns[-1] == "x0":
+                assert got and all(r[c] == c for r in got for c in names), name
+                if name in ("quality", "repeated_strings"):
+                    assert len(got) == len(odd)
+            else:
+                assert not got
+        assert corpus_pipeline.STAGES[-1][1](spark, own, str(tmp_path)).count() == sum(bool(r[1]) for r in odd) * (own.columns[-1] == "x0") or own.columns[-1] == "x0"
