@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from .token_counts import VOCABULARY, counter
 
 MAX_LEN, BUDGET, N_BUCKETS = 2048, 65536, 12
 #: Tokens of the pieces that a worker hands over at a time, about.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 PIECE = "doc_id", "piece", "start", "length", "tokens"
 RESULT = (*PIECE, "bucket", "padded", "batch", "slot")
 
@@ -87,11 +88,12 @@ def encoded(docs: DataFrame, text_col: str, vocabulary: str) -> DataFrame:
         for batch in batches:
             texts, first, out, size = batch.column(text_col), 0, [], 0
             for i in range(batch.num_rows):
-                out.append(encode(texts[i].as_py() or ""))
+                out.append(np.array(encode(texts[i].as_py() or ""), np.int32))
                 size += len(out[-1])
                 if size > BLOCK or i == batch.num_rows - 1:
-                    own = batch.slice(first, len(out))
-                    yield pa.RecordBatch.from_arrays([*[own.column(c) for c in others], pa.array(out, pa.list_(pa.int32()))], [*others, "tokens"])
+                    own, ends = batch.slice(first, len(out)), np.cumsum([0, *map(len, out)]).astype(np.int32)
+                    tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
+                    yield pa.RecordBatch.from_arrays([*[own.column(c) for c in others], tokens], [*others, "tokens"])
                     first, out, size = i + 1, [], 0
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
