@@ -10,8 +10,8 @@ shingle and for a set; nothing else is approximate.
 
 stars() pairs the nodes of a prefix shingle with a few of them, which connects most groups of
 copies; across() then pairs all nodes of a shingle that are not connected yet, so a group of
-copies never lists all its pairs. Pairs are compared on their whole sets, grouped around
-their first node; a node of very many pairs is dealt over several groups.
+copies never lists all its pairs. Pairs are compared on their whole sets, those that hang
+together in one place; what is too much for one place is dealt over several.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dealt, partitions, shingle_hashes, stash, unstash
+from .stars import components
 
 #: Documents whose shingles are counted for the order, about, and counts kept, at most.
 SAMPLE, HOT = 10_000, 1 << 17
@@ -198,8 +199,8 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) -> bool:
 
 
 def whole_sets(texts: DataFrame, nodes: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
-    """(v, own) for the nodes asked for, from one document of each."""
-    ids = nodes.join(asked, "v", "left_semi").select(F.col("least_id").alias("_id")).distinct()
+    """(v, own) for the nodes asked for, from one document of each, or more of equal id."""
+    ids = stash(nodes.join(asked, "v", "left_semi").select(F.col("least_id").alias("_id")).distinct(), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,21 +208,23 @@ def whole_sets(texts: DataFrame, nodes: DataFrame, asked: DataFrame, shingle: in
             v = np.fromiter((digest(s) for s in sets), np.uint64, len(sets)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["v", "own"])
 
-    again = texts.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(run, "v long, own array<long>")
-    return again.join(asked, "v", "left_semi").groupBy("v").agg(F.first("own").alias("own"))
+    return texts.join(ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").mapInArrow(run, "v long, own array<long>")
 
 
 def links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """Edges (a, b) that connect what the similar ones of the pairs (a, b, w) connect."""
-    asked = stash(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "asked")
-    sets = stash(whole_sets(texts, nodes, asked, shingle), "sets")
-    total = pairs.agg(F.sum("w")).first()[0] or 0
+    """Edges (a, b) that connect what the similar ones of the pairs (a, b, w) connect.
+
+    Pairs that hang together are compared in one place, so a set goes there once; what is too
+    much for one place is dealt over several by the pairs' first nodes."""
+    together = components(pairs.select("a", "b")).select(F.col("v").alias("a"), "root")
+    rooted = stash(pairs.join(together, "a", "left").withColumn("root", F.coalesce("root", "a")), "rooted")
+    total = rooted.agg(F.sum("w")).first()[0] or 0
     groups = max(partitions(pairs.sparkSession), -(-total // GROUP_SHINGLES))
-    hubs = pairs.groupBy("a").agg(F.sum("w").alias("w")).where(F.col("w") > GROUP_SHINGLES)
-    hubs = stash(hubs.select("a", F.ceil(F.col("w") / GROUP_SHINGLES).alias("parts")), "hubs")
-    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
-    cells = stash(pairs.join(hubs, "a", "left").select(F.pmod(F.xxhash64(F.col("a"), part), F.lit(groups)).alias("g"), "a", "b"), "cells")
-    ends = cells.select(F.explode(F.array("a", "b")).alias("v"), F.col("g").alias("h")).distinct()
+    large = rooted.groupBy("root").agg(F.sum("w").alias("w")).where(F.col("w") > GROUP_SHINGLES)
+    large = stash(large.select("root", F.ceil(F.col("w") / GROUP_SHINGLES).alias("parts")), "large")
+    part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1)))
+    cells = stash(rooted.join(large, "root", "left").select(F.pmod(F.xxhash64(F.col("root"), part), F.lit(groups)).alias("g"), "a", "b"), "cells")
+    ends = stash(cells.select(F.explode(F.array("a", "b")).alias("v"), F.col("g").alias("h")).distinct(), "ends")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         of = {v: s.values.to_numpy().view(np.uint64) for v, s in zip(right.column("v").to_pylist(), right.column("own"))}
@@ -240,6 +243,7 @@ def links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int, si
                 out.append((a, b))
         return pa.table({c: pa.array([e[i] for e in out], pa.int64()) for i, c in enumerate("ab")})
 
-    done = stash(cells.groupBy("g").cogroup(ends.join(sets, "v").groupBy("h")).applyInArrow(run, "a long, b long"), "edges")
-    unstash(asked, sets, hubs, cells)
+    sets = whole_sets(texts, nodes, ends.select("v").distinct(), shingle)
+    done = stash(cells.groupBy("g").cogroup(sets.join(ends, "v").groupBy("h")).applyInArrow(run, "a long, b long"), "edges")
+    unstash(rooted, large, cells, ends)
     return done

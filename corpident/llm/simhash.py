@@ -169,4 +169,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """The documents without those near a document of smaller id in their component. Rows with
     a null id stay; repeated rows of a document that stays do too."""
     gone = near_duplicates(docs, id_col, text_col, shingle, max_bits, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = stash(gone, "gone")  # its size is known then, and texts need not move if it is small
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
