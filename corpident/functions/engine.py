@@ -24,6 +24,9 @@ from . import evaluate
 
 STEP = "struct<level: string, status: string, reason_code: string, message_key: string>"
 
+#: Codes that a register list may hold.
+MOST_CODES = 100_000
+
 
 @dataclass(frozen=True)
 class Registers:
@@ -37,9 +40,12 @@ class Registers:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Registers:
-        """german from a text file, one code per line; some thousands at most."""
-        rows = spark.read.text(path).select(F.trim("value")).where(F.trim("value") != "").limit(100_000).collect()
-        return cls(german=tuple(sorted({r[0] for r in rows})))
+        """german from a text file, one code per line. A list of more than MOST_CODES is no
+        register list, and an error: cut short, it would call valid identifiers invalid."""
+        rows = spark.read.text(path).select(F.trim("value").alias("code")).where("code <> ''").distinct().limit(MOST_CODES + 1).collect()
+        if len(rows) > MOST_CODES:
+            raise ValueError(f"{path} holds more than {MOST_CODES} codes")
+        return cls(german=tuple(sorted(r[0] for r in rows)))
 
     def listed(self) -> Column:
         """Whether the part of the value that the rule's list is about is on it; NULL if that is not known."""
@@ -109,7 +115,11 @@ def resolve(df: DataFrame, kind: str, value: str, country: str | None, profile:
         }
     )
     df = df.join(F.broadcast(t.countries), F.concat("k_kind", F.lit("/"), "e_country_token") == col("c_key"), "left")
-    df = df.join(F.broadcast(t.prefixes), F.concat("k_kind", F.lit("/"), F.substring("e_pre", 1, 2)) == col("p_key"), "left")
+    # the longest prefix that fits decides
+    for n in t.prefix_lengths:
+        own = t.prefixes.where(F.length("p_prefix") == n).select(F.col("p_key").alias(f"p_key{n}"), F.col("p_target").alias(f"p_target{n}"))
+        df = df.join(F.broadcast(own), F.concat("k_kind", F.lit("/"), F.substring("e_pre", 1, n)) == col(f"p_key{n}"), "left")
+    df = df.withColumn("p_target", F.coalesce(*[f"p_target{n}" for n in t.prefix_lengths], F.lit(None).cast("string")))
     given, shaped = col("e_country_token").isNotNull(), (F.length("e_country_token") == 2) & consists_of(col("e_country_token"), UPPER)
     reason = (
         F.when(~utf8, "invalid_encoding")

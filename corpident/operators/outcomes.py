@@ -33,13 +33,20 @@ def luhn(s: Column, key: str | None = None) -> Column:
 
 
 def mod97_remainder(s: Column) -> Column:
-    """The number modulo 97 where letters are two digits, A 10 to Z 35."""
+    """The number modulo 97 where letters are two digits, A 10 to Z 35, nine digits at a time."""
+    number = s
+    for i, letter in enumerate(BASE36[10:], 10):
+        number = F.replace(number, F.lit(letter), F.lit(str(i)))
+    blocks = F.greatest(F.ceil(F.length(number) / 9).cast("int"), F.lit(1))
 
-    def step(r: Column, i: Column) -> Column:
-        place = (F.instr(F.lit(BASE36), F.substring(s, i, F.lit(1))) - 1).cast("bigint")
-        return F.pmod(r * F.when(place < 10, F.lit(10)).otherwise(F.lit(100)) + place, F.lit(97))
+    def step(r: Column, block: Column) -> Column:
+        return (r * 1_000_000_000 + block.try_cast("bigint")) % 97
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), F.lit(0).cast("bigint"), step)
+    def fold(padded: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.length(padded) / 9).cast("int") - 1), lambda i: F.substring(padded, i * 9 + 1, F.lit(9)))
+        return F.aggregate(parts, F.lit(0).cast("bigint"), step)
+
+    return F.get(F.transform(F.array(F.lpad(number, blocks * 9, F.lit("0"))), fold), F.lit(0))
 
 
 def mod97_10(s: Column, key: str | None = None) -> Column:

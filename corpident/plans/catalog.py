@@ -38,6 +38,13 @@ MAX_INPUT_BYTES = 1024
 UPPER = BASE36[10:]
 NOT_PUBLISHED, NOT_SUPPORTED = "checksum_not_published", "unsupported_checksum"
 
+#: All reason codes of reports and errors; registry_not_configured is for callers that ask a registry. Fixed values.
+REASON_CODES = """
+ok empty invalid_length invalid_characters invalid_format country_mismatch invalid_checksum invalid_encoding input_too_long
+unsupported_kind unsupported_country unsupported_format unsupported_checksum checksum_not_published missing_country_code
+not_requested not_run_format_invalid not_run_format_unsupported registry_not_configured invalid_ruleset incompatible_ruleset
+""".split()
+
 #: Kinds with their aliases. Fixed values.
 KINDS = {
     "cegjegyzekszam": ["hu_cegjegyzekszam"],

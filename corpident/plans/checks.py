@@ -52,42 +52,56 @@ def _ascending(values: list, strictly: bool = True) -> bool:
 
 
 def load(data: bytes) -> dict:
-    """The bundle, once all checks hold."""
+    """The bundle, once all checks hold. InvalidRuleset or IncompatibleRuleset is all it
+    raises: a value of the wrong type fails the check that first has to read it."""
     _need(len(data) <= MAX_BUNDLE, "the bundle is too large", 1)
     try:
         bundle = json.loads(data)
-    except ValueError as e:
+    except (ValueError, RecursionError) as e:
         raise InvalidRuleset(f"check 2: {e}") from e
     _need(isinstance(bundle, dict), "not an object", 2)
-    if bundle.get("format_version") != 1:
+    if bundle.get("format_version") != 1 or isinstance(bundle["format_version"], bool):
         raise IncompatibleRuleset("check 3: unknown format version")
     features = bundle.get("required_feature_ids", [])
+    _need(isinstance(features, list) and all(type(f) is int for f in features), "capabilities are not numbers", 4)
     if not set(features) <= set(CAPABILITIES):
         raise IncompatibleRuleset("check 4: unknown capability")
     _need(_ascending(features), "capabilities are not ascending", 4)
     _unknown_fields(bundle)
-    _need(re.fullmatch(r"[A-Za-z0-9._-]{1,64}", bundle.get("rules_version", "")), "rules_version", 6)
-    _need(re.fullmatch(r"[0-9a-f]{64}", bundle.get("source_digest", "")), "source_digest is not 32 bytes", 7)
+    _need(_matches(r"[A-Za-z0-9._-]{1,64}", bundle.get("rules_version")), "rules_version", 6)
+    _need(_matches(r"[0-9a-f]{64}", bundle.get("source_digest")), "source_digest is not 32 bytes", 7)
     programs = bundle.get("programs", [])
-    ids = [p.get("id", 0) for p in programs]
-    _need(_ascending([0, *ids]), "program ids are not ascending from 1", 8)
-    _need(all(p.get("kind") in ROOTS for p in programs), "a program's kind is not stated", 8)
-    _need(all(len(p.get("nodes", [])) <= MAX_PROGRAM_NODES for p in programs) and sum(len(p.get("nodes", [])) for p in programs) <= MAX_NODES, "too many nodes", 9)
+    ids = [p.get("id") for p in programs]
+    _need(all(type(i) is int for i in ids) and _ascending([0, *ids]), "program ids are not ascending from 1", 8)
+    _need(all(isinstance(p.get("kind"), str) and p["kind"] in ROOTS for p in programs), "a program's kind is not stated", 8)
+    _need(all(_objects(p.get("nodes")) for p in programs), "a program's nodes are not stated", 9)
+    _need(all(len(p["nodes"]) <= MAX_PROGRAM_NODES for p in programs) and sum(len(p["nodes"]) for p in programs) <= MAX_NODES, "too many nodes", 9)
     by_id = dict(zip(ids, programs))
-    for p in programs:
-        for i, n in enumerate(p["nodes"]):
-            _node(p, i, n)
-        _widths(p)
-    for p in programs:
-        _need(_instances(p) <= BUDGET, f"program {p['id']} expands too far", 14)
-    for p in programs:
-        _roots(p)
-    for p in programs:
-        _shape(p)
-    definitions = bundle.get("definitions", [])
-    _definitions(definitions, by_id)
-    _dispatchers(bundle.get("dispatchers", []), definitions, by_id)
-    _calls(by_id)
+    at = 10
+    try:
+        for p in programs:
+            for i, n in enumerate(p["nodes"]):
+                _node(p, i, n)
+            _widths(p)
+        at = 14
+        for p in programs:
+            _need(_instances(p) <= BUDGET, f"program {p['id']} expands too far", 14)
+        at = 15
+        for p in programs:
+            _roots(p)
+        at = 16
+        for p in programs:
+            _shape(p)
+        at = 17
+        definitions = bundle.get("definitions", [])
+        _definitions(definitions, by_id)
+        at = 19
+        _dispatchers(bundle.get("dispatchers", []), definitions, by_id)
+        at = 24
+        _calls(by_id)
+    except (TypeError, KeyError, AttributeError, IndexError, OverflowError, RecursionError) as e:
+        # a field of the wrong type, or none where one is due
+        raise InvalidRuleset(f"check {at}: malformed: {e!r}") from e
     used = set().union(*[OPS[n["op"]].capabilities for p in programs for n in p["nodes"]])
     used |= {42 for p in programs for n in p["nodes"] if n.get("mapping") == "custom_alphabet"}
     used |= {11 for p in programs if p.get("captures")}
@@ -95,26 +109,35 @@ def load(data: bytes) -> dict:
     return bundle
 
 
+def _matches(pattern: str, value: Any) -> bool:
+    return isinstance(value, str) and re.fullmatch(pattern, value) is not None
+
+
+def _objects(value: Any) -> bool:
+    return isinstance(value, list) and all(isinstance(x, dict) for x in value)
+
+
 def _unknown_fields(bundle: dict) -> None:
     def known(kind: str, item: dict) -> None:
         _need(isinstance(item, dict) and set(item) <= FIELDS[kind], f"unknown field in a {kind}", 5)
 
+    def each(kind: str, items: Any) -> list:
+        _need(_objects(items), f"{kind}s are not a list of objects", 5)
+        for item in items:
+            known(kind, item)
+        return items
+
     known("bundle", bundle)
-    for p in bundle.get("programs", []):
-        known("program", p)
-        for c in p.get("captures") or []:
-            known("capture", c)
-    for d in bundle.get("definitions", []):
-        known("definition", d)
-    for d in bundle.get("dispatchers", []):
-        known("dispatcher", d)
-        for t in d.get("targets", []):
-            known("target", t)
+    for p in each("program", bundle.get("programs", [])):
+        each("capture", [] if p.get("captures") is None else p["captures"])
+    each("definition", bundle.get("definitions", []))
+    for d in each("dispatcher", bundle.get("dispatchers", [])):
+        each("target", d.get("targets", []))
 
 
 def _node(p: dict, i: int, n: dict) -> None:
     where = f"program {p['id']} node {i}"
-    op = OPS.get(n.get("op"))
+    op = OPS.get(n["op"]) if isinstance(n.get("op"), str) else None
     _need(op, f"{where}: unknown operation", 10)
     operands, fixed = n.get("in", []), len(op.operands)
     rest = len(operands) - fixed

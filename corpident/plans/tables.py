@@ -119,7 +119,8 @@ def _lists(d: Definition) -> tuple | None:
 class Tables:
     kinds: DataFrame  # k_token, k_kind, k_remove, k_specific, k_fallback
     countries: DataFrame  # c_key, c_country, c_target
-    prefixes: DataFrame  # p_key, p_target
+    prefixes: DataFrame  # p_key, p_prefix, p_target
+    prefix_lengths: list[int]  # the longest first
     rules: DataFrame  # see RULE
     lists: DataFrame  # see LISTS
 
@@ -141,11 +142,12 @@ def tables(spark: SparkSession, definitions: list[Definition] | None = None) ->
         also = {a: c for a, c in catalog.COUNTRY_ALIASES.get(kind, {}).items() if c in by_country}
         countries += [(f"{kind}/{c}", c, t) for c, t in by_country.items()]
         countries += [(f"{kind}/{a}", c, by_country[c]) for a, c in also.items()]
-        prefixes += [(f"{kind}/{p}", f"{kind}/{d.country}") for d in own for p in d.prefixes]
+        prefixes += [(f"{kind}/{p}", p, f"{kind}/{d.country}") for d in own for p in d.prefixes]
     return Tables(
         spark.createDataFrame(kinds, "k_token string, k_kind string, k_remove string, k_specific boolean, k_fallback string"),
         spark.createDataFrame(countries, "c_key string, c_country string, c_target string"),
-        spark.createDataFrame(prefixes, "p_key string, p_target string"),
+        spark.createDataFrame(prefixes, "p_key string, p_prefix string, p_target string"),
+        sorted({len(p) for _, p, _ in prefixes}, reverse=True),
         spark.createDataFrame([_rule(d) for d in rules], RULE),
         spark.createDataFrame([x for d in rules if (x := _lists(d))], LISTS),
     )

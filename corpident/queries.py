@@ -6,6 +6,7 @@ The SQL states each rule on its own terms and shares nothing with the catalog.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,15 +88,28 @@ class Case:
     def __init__(self, kind: str, value: str, canon: str, fails: list[tuple[str, str, str]], checksum: str, of=ORDERS, country: str | None = None, profile: str | None = None):
         self.kind, self.value, self.canon, self.fails, self.checksum, self.of, self.country, self.profile = kind, value, canon, fails, checksum, of, country, profile
 
+    def on_tail(self, country: str) -> Case:
+        """The EUID of a country whose national part is this case's."""
+        key, tail = f"euid.{country.lower()}", "(CASE WHEN contains(s, '.') THEN substr(s, strpos(s, '.') + 1) END)"
+        register = "(CASE WHEN strpos(s, '.') > 0 THEN substr(s, 3, greatest(strpos(s, '.') - 3, 0)) END)"
+        value = f"concat(CASE WHEN k % 2 = 0 THEN '{country}' ELSE '{country.lower()}' END, CASE WHEN k % 17 = 1 THEN 'TOOLONGREG' WHEN k % 17 = 2 THEN 'R_1' ELSE 'R1' END, CASE WHEN k % 17 = 3 THEN '' ELSE '.' END, {self.value})"
+        own = [
+            ("contains(s, '.')", "invalid_format", f"{key}.separator"),
+            (f"length({register}) BETWEEN 1 AND 8", "invalid_length", f"{key}.register_length"),
+            (digits(register, _B36), "invalid_characters", f"{key}.register_characters"),
+        ]
+        moved = lambda sql: re.sub(r"\bs\b", tail, sql)
+        return Case("euid", value, stripped("-" if country == "HU" else ""), [*own, *[(moved(holds), reason, k) for holds, reason, k in self.fails]], moved(self.checksum))
+
     def query(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = source(spark, sf_dir, self.of, self.value).withColumns({"kind": F.lit(self.kind), "country_code": F.lit(self.country).cast("string")})
         flat = api.flatten(api.validate(rows, profile=self.profile), "k")
         return flat.select("k", "canonical_value", "format_status", "format_reason_code", "format_message_key", "checksum_status", "checksum_reason_code")
 
-    def sql(self) -> str:
+    def sql(self, where: str = "true") -> str:
         fails = " ".join(f"WHEN NOT ({holds}) THEN '{reason}|{key}'" for holds, reason, key in self.fails)
         return f"""
-WITH t AS ({source_sql(self.of, self.value)}),
+WITH t AS (SELECT * FROM ({source_sql(self.of, self.value)}) WHERE {where}),
 c AS (SELECT k, {self.canon} AS s FROM t),
 f AS (SELECT k, s, CASE {fails} END AS fail FROM c),
 r AS (SELECT k, s, fail, CASE WHEN fail IS NOT NULL THEN 'not_run|not_run_format_invalid' ELSE {self.checksum} END AS ck FROM f)
@@ -104,6 +118,22 @@ SELECT k, s AS canonical_value, CASE WHEN fail IS NULL THEN 'valid' ELSE 'invali
   split_part(ck, '|', 1) AS checksum_status, split_part(ck, '|', 2) AS checksum_reason_code FROM r"""
 
 
+def family(cases: list[Case]) -> tuple[Query, str]:
+    """Many kinds in one query: each key is asked for one of them."""
+    n = len(cases)
+
+    def pick(what: Callable[[Case], str]) -> str:
+        return f"CASE {' '.join(f'WHEN k % {n} = {i} THEN {what(c)}' for i, c in enumerate(cases))} END"
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = lambda x: "cast(NULL as string)" if x is None else f"'{x}'"
+        rows = source(spark, sf_dir, ORDERS, pick(lambda c: c.value)).withColumns({"kind": F.expr(pick(lambda c: text(c.kind))), "country_code": F.expr(pick(lambda c: text(c.country)))})
+        flat = api.flatten(api.validate_checksum(rows), "k")
+        return flat.select("k", "canonical_value", "format_status", "format_reason_code", "format_message_key", "checksum_status", "checksum_reason_code")
+
+    return query, "\nUNION ALL\n".join(f"SELECT * FROM ({c.sql(f'k % {n} = {i}')})" for i, c in enumerate(cases))
+
+
 def stripped(chars: str = "-./_") -> str:
     return f"translate(translate(value, {_LETTERS}), '{chars}  ', '')"
 
@@ -128,6 +158,7 @@ def decorated(value: str) -> str:
     return f"CASE WHEN k % 4 = 0 THEN {value} WHEN k % 4 = 1 THEN concat(' ', substr({value}, 1, 3), '-', substr({value}, 4)) WHEN k % 4 = 2 THEN concat(substr({value}, 1, 5), ' ', substr({value}, 6), ' ') ELSE lower({value}) END"
 
 
+_ENTITY, _CONTROL = "'ABCDEFGHJNPQRSUVW'", "'ABCDEFGHJKLMNPQRSTVWXYZ'"
 _TEN0 = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 0]
 _LOW0 = [0, 0, 9, 8, 7, 6, 5, 4, 3, 2, 1]
 _F11 = [0, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -326,6 +357,114 @@ CASES: dict[str, Case] = {
 }
 
 
+# the definitions that have no query of their own, many to a query
+_CZ_SUM, _NATIONAL_F11 = check_digit("s", [8, 7, 6, 5, 4, 3, 2], 11, _CZ, 8), [3, 2, 7, 6, 5, 4, 3, 2]
+NATIONAL: dict[str, Case] = {
+    "HU": Case("hu_cegjegyzekszam", decorated(number(10)), stripped(), plain("hu.cegjegyzekszam", "= 10"), NOT_PUBLISHED),
+    "IE": Case("cro_number", decorated(f"CASE WHEN k % 2 = 0 THEN {number(6)} ELSE {number(8)} END"), stripped(), plain("ie.cro_number", "BETWEEN 5 AND 7"), NOT_PUBLISHED),
+    "US": Case("us_ein", decorated(number(9)), stripped(), plain("ein", "= 9"), NOT_PUBLISHED),
+    "EL": Case("gemi", decorated(number(12)), stripped(), plain("el.gemi", "= 12"), NOT_PUBLISHED),
+    "DE": Case("hrb", decorated(f"concat('HRB', {number(6)}, CASE WHEN k % 19 = 4 THEN 'ü' ELSE '' END)"), stripped(), plain("de.handelsregisternummer", "BETWEEN 1 AND 20", _B36), NOT_PUBLISHED),
+    "CY": Case("he_number", decorated(number(6)), stripped(), plain("cy.he_number", "= 6"), NOT_PUBLISHED),
+    "SK": Case("ico", decorated(number(8)), stripped(), plain("sk.ico", "= 8"), verdict(_CZ_SUM), country="SK"),
+    "PL": Case("krs", decorated(number(10)), stripped(), plain("pl.krs", "= 10"), NOT_PUBLISHED),
+    "NL": Case("nl_kvk", decorated(number(8)), stripped(), plain("nl.kvk", "= 8"), NOT_PUBLISHED),
+    "SI": Case("maticna_stevilka", decorated(number(7)), stripped(), plain("si.maticna_stevilka", "= 7"), NOT_PUBLISHED),
+    "MT": Case(
+        "mbr_number",
+        decorated(f"concat(CASE WHEN k % 7 = 0 THEN 'D' ELSE 'C' END, {number(5)})"),
+        stripped(),
+        [*plain("mt.mbr_number", "BETWEEN 5 AND 7")[:2], ("starts_with(s, 'C')", "invalid_format", "mt.mbr_number.prefix"), (digits("substr(s, 2)"), "invalid_characters", "mt.mbr_number.characters")],
+        NOT_PUBLISHED,
+    ),
+    "HR": Case("mbs", decorated(number(8)), stripped(), plain("hr.mbs", "= 8"), NOT_PUBLISHED),
+    "LU": Case(
+        "rcs_number",
+        decorated(f"concat(CASE WHEN k % 7 = 0 THEN '1' ELSE {letter()} END, {number(5)})"),
+        stripped(),
+        [*plain("lu.rcs_number", "BETWEEN 5 AND 7")[:2], (digits("substr(s, 1, 1)", _UP), "invalid_format", "lu.rcs_number.prefix"), (digits("substr(s, 2)"), "invalid_characters", "lu.rcs_number.characters")],
+        NOT_PUBLISHED,
+    ),
+}
+
+
+def _vat_case(country: str, body: str, lengths: str, checksum: str, *more: tuple[str, str, str], numeric: bool = True, asked: str | None = None) -> Case:
+    return Case("vat_number", f"concat('{country}', {spoilt(body)})", stripped(), vat(f"vat.{country.lower()}", country, lengths, *more, body=numeric), checksum, country=asked or country.lower())
+
+
+def _british() -> str:
+    return verdict(f"{wsum('substr(s, 3)', [8, 7, 6, 5, 4, 3, 2, 10, 1])} % 97 IN (0, 42)")
+
+
+def _only(length: int, checksum: str) -> str:
+    return f"CASE WHEN length(s) <> {length} THEN {NOT_PUBLISHED} ELSE {checksum} END"
+
+
+_ES_SHAPE = f"(({digits('substr(s, 3, 1)', _ENTITY)} AND {digits('substr(s, 4, 7)')}) OR ({digits('substr(s, 3, 8)')} AND {digits('substr(s, 11, 1)', _CONTROL)}) OR (substr(s, 3, 1) IN ('X', 'Y', 'Z') AND {digits('substr(s, 4, 7)')} AND {digits('substr(s, 11, 1)', _CONTROL)}))"
+VAT: list[Case] = [
+    _vat_case("AT", f"concat(CASE WHEN k % 5 = 0 THEN 'X' ELSE 'U' END, {number(8)})", "= 11", NOT_SUPPORTED, (digits("substr(s, 4)"), "invalid_characters", "vat.at.characters"), ("substr(s, 3, 1) = 'U'", "invalid_format", "vat.at.u_marker"), numeric=False),
+    _vat_case("CY", f"concat({number(8)}, CASE WHEN k % 5 = 0 THEN '1' ELSE {letter()} END)", "= 11", NOT_SUPPORTED, (digits("substr(s, 11, 1)", _UP), "invalid_format", "vat.cy.check_letter"), (digits("substr(s, 3, 8)"), "invalid_characters", "vat.cy.body_characters"), numeric=False),
+    _vat_case("CZ", f"CASE WHEN k % 5 = 0 THEN {number(10)} ELSE {number(8)} END", "BETWEEN 10 AND 12", _only(10, verdict(check_digit("substr(s, 3)", [8, 7, 6, 5, 4, 3, 2], 11, _CZ, 8)))),
+    _vat_case("DK", number(8), "= 10", verdict(f"{wsum('substr(s, 3)', [2, 7, 6, 5, 4, 3, 2, 1])} % 11 = 0")),
+    _vat_case(
+        "ES",
+        f"CASE WHEN k % 4 = 0 THEN concat({letter()}, {number(8)}) WHEN k % 4 = 1 THEN concat({number(8)}, {letter()}) WHEN k % 4 = 2 THEN concat('Y', {number(7)}, {letter()}) ELSE concat('B', {number(7)}, {letter()}) END",
+        "= 11",
+        f"CASE WHEN {digits('substr(s, 3, 1)', _ENTITY)} AND {digits('substr(s, 11, 1)')} THEN {verdict(luhn('substr(s, 4, 8)'))} ELSE {NOT_PUBLISHED} END",
+        (digits("substr(s, 3)", _B36), "invalid_characters", "vat.es.characters"),
+        (_ES_SHAPE, "invalid_format", "vat.es.shape"),
+        numeric=False,
+    ),
+    _vat_case("FI", number(8), "= 10", verdict(check_digit("substr(s, 3)", [7, 9, 10, 5, 8, 4, 2], 11, _F11, 8))),
+    _vat_case("HR", number(11), "= 13", NOT_SUPPORTED),
+    _vat_case("HU", number(8), "= 10", verdict(check_digit("substr(s, 3)", [9, 7, 3, 1, 9, 7, 3], 10, _F10, 8))),
+    _vat_case("IS", f"CASE WHEN k % 3 = 0 THEN {number(5)} WHEN k % 3 = 1 THEN {number(6)} ELSE {number(10)} END", "IN (7, 8, 12)", _only(12, verdict(check_digit("substr(s, 3)", _NATIONAL_F11, 11, _F11, 9)))),
+    _vat_case("IT", number(11), "= 13", verdict(luhn("substr(s, 3)"))),
+    _vat_case("LI", number(5), "= 7", NOT_PUBLISHED),
+    _vat_case("NO", number(9), "= 11", verdict(check_digit("substr(s, 3)", _NATIONAL_F11, 11, _F11, 9))),
+    _vat_case("PL", number(10), "= 12", verdict(check_digit("substr(s, 3)", [6, 5, 7, 2, 3, 4, 5, 6, 7], 11, [*_TEN0[:10], 10], 10))),
+    _vat_case("PT", number(9), "= 11", verdict(check_digit("substr(s, 3)", [9, 8, 7, 6, 5, 4, 3, 2], 11, _LOW0, 9))),
+    _vat_case("SI", number(8), "= 10", verdict(check_digit("substr(s, 3)", [8, 7, 6, 5, 4, 3, 2], 11, _F11, 8))),
+    _vat_case("XI", f"concat({number(9)}, CASE WHEN k % 5 = 0 THEN '123' ELSE '' END)", "IN (11, 14)", _british()),
+]
+
+#: EUIDs by country, with the case of their national part. The German one needs a list of courts.
+_PARTS = {"AT": "firmenbuchnummer", "BG": "eik", "CZ": "ico_cz", "DK": "cvr", "EE": "registrikood", "ES": "nif", "FI": "y_tunnus", "IT": "codice_fiscale", "LT": "juridinio", "LV": "registracijas", "PT": "nipc", "RO": "cui", "SE": "organisationsnummer"}
+EUID: list[Case] = [
+    *[CASES[f"validate_{name}"].on_tail(country) for country, name in _PARTS.items()],
+    *[NATIONAL[c].on_tail(c) for c in ("CY", "EL", "HR", "HU", "IE", "LU", "MT", "NL", "PL", "SI", "SK")],
+]
+FAMILIES: dict[str, tuple[Query, str]] = {"validate_national": family(list(NATIONAL.values())), "validate_vat_more": family(VAT), "validate_euid_more": family(EUID)}
+
+#: Courts of a German register, as a caller gives them: a list to be told from others.
+COURTS = ("B1000", "K1101R", "M1201")
+_DE_VALUE = f"concat('DE', CASE WHEN k % 5 = 0 THEN 'ZZZZZ' WHEN k % 5 = 1 THEN 'k1101r' WHEN k % 5 = 2 THEN 'B1000' WHEN k % 5 = 3 THEN 'B10' ELSE 'M1201' END, CASE WHEN k % 13 = 0 THEN '' ELSE '.' END, 'HRB', {number(6)}, CASE WHEN k % 17 = 0 THEN repeat('9', 20) ELSE '' END)"
+_DE_REGISTER, _DE_TAIL = "(CASE WHEN contains(s, '.') THEN substr(s, 3, strpos(s, '.') - 3) END)", "substr(s, strpos(s, '.') + 1)"
+_DE_CASE = Case(
+    "euid",
+    _DE_VALUE,
+    stripped(""),
+    [
+        ("contains(s, '.')", "invalid_format", "euid.de.separator"),
+        (f"length({_DE_REGISTER}) BETWEEN 5 AND 6", "invalid_length", "euid.de.register_length"),
+        (f"{_DE_REGISTER} IN {COURTS}", "invalid_format", "euid.de.register_unknown"),
+        (f"length({_DE_TAIL}) BETWEEN 1 AND 20", "invalid_length", "de.handelsregisternummer.length"),
+    ],
+    NOT_PUBLISHED,
+)
+
+
+def validate_euid_de(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a list of courts: what is on it is valid, what is not is invalid."""
+    rows = source(spark, sf_dir, ORDERS, _DE_VALUE).withColumns({"kind": F.lit("euid"), "country_code": F.lit(None).cast("string")})
+    flat = api.flatten(api.validate(rows, registers=api.Registers(german=COURTS)), "k")
+    return flat.select("k", "canonical_value", "format_status", "format_reason_code", "format_message_key", "checksum_status", "checksum_reason_code")
+
+
+def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.capabilities(spark)
+
+
 # dispatch
 
 
@@ -536,7 +675,9 @@ OPERATORS: dict[str, tuple[Query, str]] = {
 
 QUERIES: dict[str, Query] = {
     **{name: case.query for name, case in CASES.items()},
-    **{name: query for name, (query, _) in OPERATORS.items()},
+    **{name: query for name, (query, _) in (FAMILIES | OPERATORS).items()},
+    "validate_euid_de": validate_euid_de,
+    "capabilities": capabilities,
     "dispatch": dispatch,
     "format_only": format_only,
     "rules_info": rules_info,
@@ -544,7 +685,9 @@ QUERIES: dict[str, Query] = {
 }
 ORACLE: dict[str, str] = {
     **{name: case.sql() for name, case in CASES.items()},
-    **{name: sql for name, (_, sql) in OPERATORS.items()},
+    **{name: sql for name, (_, sql) in (FAMILIES | OPERATORS).items()},
+    "validate_euid_de": _DE_CASE.sql(),
+    "capabilities": "SELECT unnest([1, 2, 3, 4, 5, 10, 11, 20, 21, 30, 31, 32, 33, 34, 35, 40, 41, 42])::INTEGER AS capability",
     "dispatch": DISPATCH_SQL,
     "format_only": FORMAT_ONLY_SQL,
     "rules_info": RULES_INFO_SQL,

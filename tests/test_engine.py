@@ -63,6 +63,29 @@ def test_german_registers_are_a_parameter(spark, tmp_path):
     assert of(registers=api.Registers.read(spark, str(tmp_path / "codes.txt"))) == [("valid", "ok"), ("invalid", "invalid_format"), ("invalid", "invalid_length")]
 
 
+def test_register_lists_are_never_cut_short(spark, tmp_path, monkeypatch):
+    from corpident.functions import engine
+
+    (tmp_path / "courts").write_text("\n".join(f"B{i:04d}" for i in range(30)) + "\n\n B0001 \n")
+    assert len(api.Registers.read(spark, str(tmp_path / "courts")).german) == 30
+    monkeypatch.setattr(engine, "MOST_CODES", 29)
+    with pytest.raises(ValueError, match="more than 29"):
+        api.Registers.read(spark, str(tmp_path / "courts"))
+
+
+def test_the_longest_prefix_decides(spark):
+    from dataclasses import replace
+
+    from corpident.plans import catalog
+
+    own = [d for d in catalog.definitions() if d.kind == "vat" and d.country in ("BE", "FR", "DE")]
+    given = {"BE": ("A",), "FR": ("ABC",), "DE": ("AB", "D")}
+    own = [replace(d, prefixes=given[d.country], prefix=given[d.country][0]) for d in own]
+    rows = spark.createDataFrame([(v,) for v in ("abc1", "AB1", "A-1", "d1", "x1", "a")], "value string").withColumns({"kind": F.lit("vat"), "country_code": F.lit(None).cast("string")})
+    got = {r.value: r.canonicalization.country_code for r in api.canonicalize(rows, definitions=own).collect()}
+    assert got == {"abc1": "FR", "AB1": "DE", "A-1": "BE", "d1": "DE", "x1": None, "a": "BE"}
+
+
 def test_null_values_and_extra_columns(spark):
     rows = spark.createDataFrame([("siren", None, 3, 1), ("siren", "012345674", 4, 2)], "kind string, value string, e_value int, target int")
     got = api.validate(rows, country=None).orderBy("target").collect()

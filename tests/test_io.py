@@ -38,3 +38,14 @@ def test_conformance_cases(spark):
     assert len(got) == 7 and got["c0"]["status"] == "valid" and got["c1"] == got["c3"]
     assert got["c2"]["checksum"]["reason_code"] == "not_requested"
     assert got["c4"] == got["c5"] == {"failure": "unknown operation"} and got["p"] == {"failure": "unknown profile"}
+
+
+def test_cases_that_load_bundles(spark):
+    from tests.test_language import bundle
+
+    newer = {**bundle(), "format_version": 2}
+    rows = [("good", json.dumps(bundle())), ("newer", json.dumps(newer)), ("cut", json.dumps(bundle())[:-3]), ("none", None)]
+    cases = [(i, "load_ruleset", None, None, None, None, payload) for i, payload in rows] + [("v", "validate", *ROWS[0], None)]
+    got = {r.id: json.loads(r.response) for r in sources.respond(spark.createDataFrame(cases, sources.LOAD_CASE)).collect()}
+    assert got.pop("v")["kind"] == "siren"
+    assert got == {"good": {"accepted": True}, "newer": {"accepted": False, "engine_error": "incompatible_ruleset"}, "cut": {"accepted": False, "engine_error": "invalid_ruleset"}, "none": {"accepted": False, "engine_error": "invalid_ruleset"}}

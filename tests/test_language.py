@@ -133,6 +133,44 @@ def test_not_json_and_too_large():
         checks.load(b" " * (checks.MAX_BUNDLE + 1))
 
 
+@pytest.mark.parametrize(
+    ("number", "change"),
+    [(6, put(["rules_version"], 5)), (7, put(["source_digest"], None)), (4, put(["required_feature_ids"], None)), (9, drop(["programs", 0, "nodes"])), (8, put(["programs", 1, "id"], "2")), (5, put(["programs"], {"a": 1})), (5, put(["dispatchers", 0, "targets"], "x"))],
+)
+def test_values_of_the_wrong_type(number, change):
+    b = bundle()
+    change(b)
+    with pytest.raises(InvalidRuleset, match=f"check {number}:"):
+        load(b)
+
+
+def test_hostile_bundles_raise_the_two_errors_only():
+    import random
+
+    rng = random.Random(1)
+    odd = [None, True, -1, 1 << 70, 1.5, "", "x", [], {}, [None], [[1]], {"op": 3}, "\ud800", [{}]]
+
+    def spoil(x):
+        if isinstance(x, (dict, list)) and x and rng.random() < 0.85:
+            key = rng.choice(list(x) if isinstance(x, dict) else range(len(x)))
+            if rng.random() < 0.1:
+                del x[key]
+            else:
+                x[key] = spoil(x[key])
+            return x
+        return copy.deepcopy(rng.choice(odd))
+
+    for _ in range(3000):
+        b = spoil(bundle())
+        try:
+            load(b)
+        except (InvalidRuleset, IncompatibleRuleset):
+            pass
+    for data in (b"[" * 100_000, b'{"a":' * 50_000, b"\xff", b"1", b"null", b'{"format_version": true}'):
+        with pytest.raises((InvalidRuleset, IncompatibleRuleset)):
+            checks.load(data)
+
+
 def test_compiled_programs(spark):
     b = load(bundle())
     programs = {p["id"]: p for p in b["programs"]}
