@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,13 +123,11 @@ def family(cases: list[Case]) -> tuple[Query, str]:
     """Many kinds in one query: each key is asked for one of them."""
     n = len(cases)
 
-    def pick(what: Callable[[Case], str]) -> str:
-        return f"CASE {' '.join(f'WHEN k % {n} = {i} THEN {what(c)}' for i, c in enumerate(cases))} END"
-
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = lambda x: "cast(NULL as string)" if x is None else f"'{x}'"
-        rows = source(spark, sf_dir, ORDERS, pick(lambda c: c.value)).withColumns({"kind": F.expr(pick(lambda c: text(c.kind))), "country_code": F.expr(pick(lambda c: text(c.country)))})
-        flat = api.flatten(api.validate_checksum(rows), "k")
+        keys = _table(spark, sf_dir, ORDERS[0]).select(F.expr(f"cast({ORDERS[1]} as bigint)").alias("k"))
+        # one expression for all values would be more code than a method may hold
+        each = [keys.where(f"k % {n} = {i}").select("k", F.expr(c.value).alias("value"), F.lit(c.kind).alias("kind"), F.lit(c.country).cast("string").alias("country_code")) for i, c in enumerate(cases)]
+        flat = api.flatten(api.validate_checksum(spread(reduce(DataFrame.union, each))), "k")
         return flat.select("k", "canonical_value", "format_status", "format_reason_code", "format_message_key", "checksum_status", "checksum_reason_code")
 
     return query, "\nUNION ALL\n".join(f"SELECT * FROM ({c.sql(f'k % {n} = {i}')})" for i, c in enumerate(cases))
