@@ -35,8 +35,12 @@ SMALL = 32
 GROUP_ROWS, PART_ROWS, GROUP_SHINGLES = 1 << 19, 1 << 16, 1 << 21
 #: Nodes of a bucket that the others are first paired with.
 CENTRES = 4
+#: Bins of a coarse histogram, and of a fine one at most.
+BINS, MOST_BINS = 64, 8192
 #: Pairs that a group of buckets collects before it drops repeated ones.
 PENDING = 1 << 21
+#: Pairs whose histograms are compared at a time.
+BLOCK = 1 << 15
 
 
 def bits(hashes: np.ndarray) -> int:
@@ -80,12 +84,13 @@ def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
 
 
 def sketches(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """One row per document: id long, v long (the set's hash, signed), n int (its size), fp long, prefix."""
+    """One row per document: id long, v long (the set's hash, signed), n int (its size), fp
+    long, prefix, and the histograms coarse (of BINS bins) and fine (of about n / 8, or BINS)."""
     hot, counts = common_shingles(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, n, fp, firsts = [], [], [], []
+            v, n, fp, firsts, coarse, fine = [], [], [], [], [], []
             for t in batch.column(1):
                 hashes = shingle_hashes(t.as_py(), shingle)
                 own = np.unique(hashes)
@@ -93,10 +98,48 @@ def sketches(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> Dat
                 n.append(len(own))
                 fp.append(bits(hashes))
                 firsts.append(prefix(own, hot, counts, similarity).view(np.int64))
+                coarse.append(histogram(own, BINS).tobytes())
+                fine.append(histogram(own, min(MOST_BINS, max(BINS, 1 << (len(own) // 8).bit_length()))).tobytes())
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (v, fp)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(n, pa.int32()), signed[1], pa.array(firsts, pa.list_(pa.int64()))], ["id", "v", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(n, pa.int32()), signed[1], pa.array(firsts, pa.list_(pa.int64())), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())], ["id", "v", "n", "fp", "prefix", "coarse", "fine"])
 
-    return texts.mapInArrow(run, "id long, v long, n int, fp long, prefix array<long>")
+    return texts.mapInArrow(run, "id long, v long, n int, fp long, prefix array<long>, coarse binary, fine binary")
+
+
+def histogram(own: np.ndarray, bins: int) -> np.ndarray:
+    """How many of the hashes fall in each bin, 255 at most. Whatever two sets do not share
+    differs in at least as many places as their histograms do."""
+    return np.minimum(np.bincount((own & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+
+
+def may_be(x: np.ndarray, y: np.ndarray, n: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Whether rows of histograms leave room for the similarity; n: the sizes of both sets together."""
+    num, den = similarity
+    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1, dtype=np.int64)
+    return (num + den) * apart <= (den - num) * n
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b, w) whose fine histograms leave room for the similarity."""
+
+    def fold(h: bytes, bins: int) -> np.ndarray:
+        # a full bin may hold more than it says, so its difference proves nothing
+        return np.frombuffer(h, np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        num, den = similarity
+        for batch in batches:
+            keep = []
+            for w, x, y in zip(batch.column("w").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                bins = min(len(x), len(y))
+                p, q = fold(x, bins), fold(y, bins)
+                apart = np.abs(p - q)[(p < 255) & (q < 255)].sum()
+                keep.append((num + den) * apart <= (den - num) * w)
+            yield batch.select(["a", "b", "w"]).filter(pa.array(keep, pa.bool_()))
+
+    own = nodes.select("v", "fine")
+    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select("a", "b", "w", "x", "y")
+    return both.mapInArrow(run, "a long, b long, w long")
 
 
 def shared_prefixes(nodes: DataFrame) -> DataFrame:
@@ -108,8 +151,8 @@ def shared_prefixes(nodes: DataFrame) -> DataFrame:
 class Pairs:
     """Rows (a, b, w): pairs of nodes that may be similar, and how many shingles both have."""
 
-    def __init__(self, at: np.ndarray, v: np.ndarray, n: np.ndarray, similarity: tuple[int, int]):
-        self.at, self.v, self.n, (self.num, self.den) = at, v, n, similarity
+    def __init__(self, at: np.ndarray, v: np.ndarray, n: np.ndarray, similarity: tuple[int, int], coarse: np.ndarray | None = None):
+        self.at, self.v, self.n, (self.num, self.den), self.coarse = at, v, n, similarity, coarse
         self.found, self.pending = [np.zeros((0, 3), np.int64)], 0
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
@@ -118,6 +161,10 @@ class Pairs:
         most = np.minimum(n[i] - at[i], n[j] - at[j])
         fits = (self.num + self.den) * most >= self.num * (n[i] + n[j])
         i, j = i[fits], j[fits]
+        if self.coarse is not None:
+            room = [may_be(self.coarse[i[k : k + BLOCK]], self.coarse[j[k : k + BLOCK]], n[i[k : k + BLOCK]] + n[j[k : k + BLOCK]], (self.num, self.den)) for k in range(0, len(i), BLOCK)]
+            room = np.concatenate([np.zeros(0, bool), *room])
+            i, j = i[room], j[room]
         self.found.append(np.stack([np.minimum(v[i], v[j]), np.maximum(v[i], v[j]), n[i] + n[j]], axis=1))
         self.pending += len(i)
         if self.pending > PENDING:
@@ -177,16 +224,18 @@ def bucket_pairs(pairs: Pairs, label: np.ndarray, first: np.ndarray, size: np.nd
             pairs.add(np.full(len(j), s + i), s + j)
 
 
-def across(shared: DataFrame, labels: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """All pairs (a, b, w) that share a prefix shingle, may be similar, and have different
-    labels. labels: v, label, for nodes that are connected to others."""
-    rows = shared.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    rows = dealt(rows, "key", "v", F.ceil(F.col("m") / PART_ROWS), _groups(shared)).select("g", "key", "lo", "hi", "at", "v", "n", "label")
+    labels. labels: v, label, for nodes that are connected to others. Histograms rule most
+    pairs out where they are met, before any is written."""
+    own = nodes.select("v", "coarse").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    rows = dealt(shared.join(own, "v"), "key", "v", F.ceil(F.col("m") / PART_ROWS), _groups(shared)).select("g", "key", "lo", "hi", "at", "v", "n", "label", "coarse")
 
     def run(table: pa.Table) -> pa.Table:
         key, lo, hi, at, v, n, label = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "at", "v", "n", "label"))
         order, first, size = _by_bucket(np.lexsort((v, n, hi, lo, key)), key, lo, hi)
-        pairs = Pairs(at[order].astype(np.int64), v[order], n[order].astype(np.int64), similarity)
+        coarse = np.frombuffer(b"".join(table.column("coarse").to_pylist()), np.uint8).reshape(-1, BINS)
+        pairs = Pairs(at[order].astype(np.int64), v[order], n[order].astype(np.int64), similarity, coarse[order])
         bucket_pairs(pairs, label[order], first, size)
         return pairs.table()
 

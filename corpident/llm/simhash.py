@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, similarity: tuple[int, int]) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     rows = stash(jaccard.sketches(texts, shingle, similarity), "sketches")
-    nodes = stash(rows.groupBy("v").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "nodes")
+    nodes = stash(rows.groupBy("v").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine")), "nodes")
     rows = rows.select("id", "v", "fp")
     # by fingerprint: one set stands for all of its fingerprint, and fingerprints are linked
     heads = stash(nodes.groupBy("fp").agg(F.min(F.struct("v", "n")).alias("head")).select("fp", "head.v", "head.n"), "heads")
@@ -156,9 +156,11 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits
     linked = near.join(heads.withColumnRenamed("fp", "a"), "a").join(other, "b").select(F.col("v").alias("a"), F.col("y").alias("b"), F.col("n") + F.col("m"))
     shared = stash(jaccard.shared_prefixes(nodes), "shared")
     first = stash(same.union(linked).toDF("a", "b", "w").where("a <> b").union(jaccard.stars(shared, similarity)).distinct(), "pairs")
+    first = stash(jaccard.plausible(first, nodes, similarity), "plausible")
     edges = jaccard.links(first, texts, nodes, shingle, similarity)
-    labels = components(as_nodes(edges, nodes, "v"))
-    second = stash(jaccard.across(shared, labels.select(F.col("v.key").alias("v"), F.col("root.key").alias("label")), similarity), "pairs")
+    labels = components(as_nodes(edges, nodes, "v")).select(F.col("v.key").alias("v"), F.col("root.key").alias("label"))
+    second = stash(jaccard.across(shared, labels, nodes, similarity), "pairs")
+    second = stash(jaccard.plausible(second, nodes, similarity), "plausible")
     more = jaccard.links(second, texts, nodes, shingle, similarity)
     table = stash(_rooted(nodes, components(as_nodes(edges.union(more), nodes, "v")), "v"), "components")
     unstash(nodes, heads, near, shared, first, second, edges, more)
