@@ -35,11 +35,11 @@ SMALL = 32
 GROUP_ROWS, PART_ROWS, GROUP_SHINGLES = 1 << 19, 1 << 16, 1 << 21
 #: Nodes of a bucket that the others are first paired with.
 CENTRES = 4
-#: Bins of a coarse histogram, and of a fine one at most.
-BINS, MOST_BINS = 64, 8192
+#: Bits of a coarse sketch of a set, and of a fine one at most.
+COARSE, MOST_BITS = 512, 1 << 16
 #: Pairs that a group of buckets collects before it drops repeated ones.
 PENDING = 1 << 21
-#: Pairs whose histograms are compared at a time.
+#: Pairs whose sketches are compared at a time.
 BLOCK = 1 << 15
 
 
@@ -85,7 +85,7 @@ def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
 
 def sketches(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
     """One row per document: id long, v long (the set's hash, signed), n int (its size), fp
-    long, prefix, and the histograms coarse (of BINS bins) and fine (of about n / 8, or BINS)."""
+    long, prefix, and the parity sketches coarse (of COARSE bits) and fine (of about 6 n, or COARSE)."""
     hot, counts = common_shingles(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,42 +98,43 @@ def sketches(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> Dat
                 n.append(len(own))
                 fp.append(bits(hashes))
                 firsts.append(prefix(own, hot, counts, similarity).view(np.int64))
-                coarse.append(histogram(own, BINS).tobytes())
-                fine.append(histogram(own, min(MOST_BINS, max(BINS, 1 << (len(own) // 8).bit_length()))).tobytes())
+                coarse.append(parities(own, COARSE).tobytes())
+                fine.append(parities(own, min(MOST_BITS, max(COARSE, 1 << (4 * len(own)).bit_length()))).tobytes())
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (v, fp)]
             yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(n, pa.int32()), signed[1], pa.array(firsts, pa.list_(pa.int64())), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())], ["id", "v", "n", "fp", "prefix", "coarse", "fine"])
 
     return texts.mapInArrow(run, "id long, v long, n int, fp long, prefix array<long>, coarse binary, fine binary")
 
 
-def histogram(own: np.ndarray, bins: int) -> np.ndarray:
-    """How many of the hashes fall in each bin, 255 at most. Whatever two sets do not share
-    differs in at least as many places as their histograms do."""
-    return np.minimum(np.bincount((own & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+def parities(own: np.ndarray, bits: int) -> np.ndarray:
+    """For each value of the low bits of a hash, whether an odd number of the hashes has it.
+    Each element that only one of two sets holds flips one bit, so they differ in at least as
+    many elements as their sketches do in bits."""
+    counts = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1)
 
 
 def may_be(x: np.ndarray, y: np.ndarray, n: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
-    """Whether rows of histograms leave room for the similarity; n: the sizes of both sets together."""
+    """Whether rows of sketches leave room for the similarity; n: the sizes of both sets together."""
     num, den = similarity
-    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1, dtype=np.int64)
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
     return (num + den) * apart <= (den - num) * n
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b, w) whose fine histograms leave room for the similarity."""
+    """The pairs (a, b, w) whose fine sketches leave room for the similarity."""
 
-    def fold(h: bytes, bins: int) -> np.ndarray:
-        # a full bin may hold more than it says, so its difference proves nothing
-        return np.frombuffer(h, np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int64)
+    def fold(sketch: bytes, size: int) -> np.ndarray:
+        # the sketch of fewer bits: hashes that agree in those share a bit
+        return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         num, den = similarity
         for batch in batches:
             keep = []
             for w, x, y in zip(batch.column("w").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                bins = min(len(x), len(y))
-                p, q = fold(x, bins), fold(y, bins)
-                apart = np.abs(p - q)[(p < 255) & (q < 255)].sum()
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum(dtype=np.int64))
                 keep.append((num + den) * apart <= (den - num) * w)
             yield batch.select(["a", "b", "w"]).filter(pa.array(keep, pa.bool_()))
 
@@ -226,7 +227,7 @@ def bucket_pairs(pairs: Pairs, label: np.ndarray, first: np.ndarray, size: np.nd
 
 def across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """All pairs (a, b, w) that share a prefix shingle, may be similar, and have different
-    labels. labels: v, label, for nodes that are connected to others. Histograms rule most
+    labels. labels: v, label, for nodes that are connected to others. Sketches rule most
     pairs out where they are met, before any is written."""
     own = nodes.select("v", "coarse").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     rows = dealt(shared.join(own, "v"), "key", "v", F.ceil(F.col("m") / PART_ROWS), _groups(shared)).select("g", "key", "lo", "hi", "at", "v", "n", "label", "coarse")
@@ -234,7 +235,7 @@ def across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: t
     def run(table: pa.Table) -> pa.Table:
         key, lo, hi, at, v, n, label = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "at", "v", "n", "label"))
         order, first, size = _by_bucket(np.lexsort((v, n, hi, lo, key)), key, lo, hi)
-        coarse = np.frombuffer(b"".join(table.column("coarse").to_pylist()), np.uint8).reshape(-1, BINS)
+        coarse = np.frombuffer(b"".join(table.column("coarse").to_pylist()), np.uint8).reshape(-1, COARSE // 8).view(np.uint64)
         pairs = Pairs(at[order].astype(np.int64), v[order], n[order].astype(np.int64), similarity, coarse[order])
         bucket_pairs(pairs, label[order], first, size)
         return pairs.table()

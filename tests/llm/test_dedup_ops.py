@@ -146,6 +146,22 @@ def plain_jaccard(rows, k=5):
     return [least.get(find(i)) for i in range(len(rows))]
 
 
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 146, 3000):
+        for _ in range(40):
+            x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.uniform(0.6, 1)], rng.integers(0, 1 << 63, rng.integers(0, n // 4 + 2)).astype(np.uint64)]))
+            apart = len(np.setxor1d(x, y))
+            for bits in (512, 4096):
+                p, q = (jaccard.parities(s, bits) for s in (x, y))
+                assert np.bitwise_count(p ^ q).sum() <= apart
+                # the sketch of more bits folds to that of fewer
+                assert (np.bitwise_xor.reduce(jaccard.parities(x, 8 * bits).reshape(-1, bits // 8)) == p).all()
+                if jaccard.similar(x, y, (4, 5)):
+                    assert jaccard.may_be(p[None], q[None], np.array([len(x) + len(y)]), (4, 5)).all()
+
+
 @pytest.mark.parametrize(("small", "sample", "part"), [(32, 10_000, 1 << 16), (2, 50, 8), (2, 1, 1 << 16)])
 def test_similarity_against_brute_force(spark, monkeypatch, small, sample, part):
     """Edits around the limit, long shared passages, a dense group, and what has few words."""
