@@ -18,6 +18,7 @@ from corpident.operators.columns import translate
 from corpident.operators.integers import consists_of
 from corpident.plans import catalog
 from corpident.plans.model import Definition
+from corpident.plans.ruleset import Ruleset
 from corpident.plans.tables import tables
 
 from . import evaluate
@@ -73,8 +74,8 @@ def _upper(c: Column) -> Column:
     return translate(c, LOWER, UPPER)
 
 
-def _canonical(df: DataFrame) -> DataFrame:
-    """df with e_canonical: the definition's canonicalization of the pre-canonical value."""
+def _canonical(df: DataFrame) -> tuple[DataFrame, Column]:
+    """The definition's canonicalization of the pre-canonical value."""
     col, v = F.col, F.col("e_c")
     df = df.withColumn("e_c", translate(F.when(col("r_upper"), _upper(col("e_pre"))).otherwise(col("e_pre")), col("r_remove")))
     df = df.withColumn("e_c", F.when(F.startswith(v, col("r_replace")), F.concat(col("r_replacement"), F.substring(v, F.length("r_replace") + 1, F.length(v)))).otherwise(v))
@@ -83,15 +84,17 @@ def _canonical(df: DataFrame) -> DataFrame:
     df = df.withColumn("e_c", F.when(~col("r_prepend") | accepted, v).otherwise(F.concat("r_prefix", v)))
     at = col("r_insert_at")
     fits = (F.length(v) == col("r_insert_length")) & consists_of(F.substring(v, at + 1, F.length(v)), "0123456789")
-    inserted = F.when(fits, F.concat(F.substring(v, F.lit(1), at), "r_insert", F.substring(v, at + 1, F.length(v)))).otherwise(v)
-    early = F.coalesce(col("e_reason").isin("invalid_encoding", "input_too_long", "unsupported_kind"), F.lit(False))
-    return df.withColumn("e_canonical", F.when(early, col("e_value")).when(col("e_reason").isNotNull(), col("e_pre")).otherwise(inserted))
+    return df, F.when(fits, F.concat(F.substring(v, F.lit(1), at), "r_insert", F.substring(v, at + 1, F.length(v)))).otherwise(v)
 
 
-def resolve(df: DataFrame, kind: str, value: str, country: str | None, profile: str | Column | None, definitions: list[Definition] | None) -> DataFrame:
+def resolve(df: DataFrame, kind: str, value: str, country: str | None, profile: str | Column | None, definitions: list[Definition] | None, ruleset: Ruleset | None = None) -> DataFrame:
     """df with the columns of dispatch: e_kind, e_canonical, e_country, e_profile, e_status and
     e_reason (NULL once a rule is selected), and the rule's columns r_*."""
-    col, t = F.col, _kept(df.sparkSession, "tables", lambda: tables(df.sparkSession)) if definitions is None else tables(df.sparkSession, definitions)
+    col, spark = F.col, df.sparkSession
+    if ruleset is not None:
+        t = ruleset.tables(spark)
+    else:
+        t = _kept(spark, "tables", lambda: tables(spark)) if definitions is None else tables(spark, definitions)
     asked = _blank("string") if profile is None else F.lit(profile) if profile in catalog.PROFILES else col(profile) if isinstance(profile, str) else profile
     asked = F.when(asked.isin(*catalog.PROFILES), asked)
     raw_country = _blank("string") if country is None else col(country)
@@ -110,7 +113,7 @@ def resolve(df: DataFrame, kind: str, value: str, country: str | None, profile:
     df = df.withColumns(
         {
             "e_country_token": F.when(token != "", token),
-            "e_pre": translate(_upper(bare), col("k_remove")),
+            "e_pre": translate(_upper(bare), col("k_remove")) if ruleset is None else ruleset.pre(col("e_value")),
             "e_bare": bare,
         }
     )
@@ -133,9 +136,11 @@ def resolve(df: DataFrame, kind: str, value: str, country: str | None, profile:
     df = df.withColumn("e_reason", reason)
     df = df.withColumn("e_target", F.when(col("e_reason").isNull(), F.coalesce("c_target", "p_target", "k_fallback")))
     df = df.join(F.broadcast(t.rules), col("e_target") == col("target"), "left")
-    df = _canonical(df)
+    profile_used = F.coalesce("e_asked", "r_profile", F.lit("compatible"))
+    df, canonical = _canonical(df) if ruleset is None else (df, ruleset.canonical(col("e_pre"), profile_used))
     resolved = F.coalesce("c_country", "e_country_token")
     early = F.coalesce(col("e_reason").isin("invalid_encoding", "input_too_long", "unsupported_kind"), F.lit(False))
+    df = df.withColumn("e_canonical", F.when(early, col("e_value")).when(col("e_reason").isNotNull(), col("e_pre")).otherwise(canonical))
     country_code = F.when(early | (given & ~shaped), col("e_raw_country")).when(col("e_reason").isNotNull(), resolved).otherwise(F.coalesce("r_country", resolved))
     keep = [c for c in df.columns if c.startswith("r_") or c == "target"]
     return df.select(
@@ -146,12 +151,12 @@ def resolve(df: DataFrame, kind: str, value: str, country: str | None, profile:
         *keep,
         F.coalesce("k_kind", "e_token").alias("e_kind"),
         country_code.alias("e_country"),
-        F.coalesce("e_asked", "r_profile", F.lit("compatible")).alias("e_profile"),
+        profile_used.alias("e_profile"),
         F.when(col("e_reason") == "country_mismatch", "invalid").when(col("e_reason").isNotNull(), "unsupported").alias("e_status"),
     )
 
 
-def _common() -> list[Column]:
+def _common(ruleset: Ruleset | None) -> list[Column]:
     col = F.col
     return [
         col("e_kind").alias("kind"),
@@ -159,7 +164,7 @@ def _common() -> list[Column]:
         col("e_canonical").alias("canonical_value"),
         col("e_country").alias("country_code"),
         col("e_profile").alias("profile"),
-        F.lit(catalog.RULES_VERSION).alias("rules_version"),
+        F.lit(catalog.RULES_VERSION if ruleset is None else ruleset.version).alias("rules_version"),
         F.lit(catalog.FORMAT_VERSION).alias("format_version"),
         F.lit(catalog.ENGINE_VERSION).alias("engine_version"),
     ]
@@ -169,10 +174,10 @@ def _step(level: str, status: Column, reason: Column, key: Column) -> Column:
     return F.struct(F.lit(level).alias("level"), status.alias("status"), reason.alias("reason_code"), key.alias("message_key"))
 
 
-def canonicalize(df: DataFrame, kind: str = "kind", value: str = "value", country: str | None = "country_code", profile: str | Column | None = None, definitions: list[Definition] | None = None) -> DataFrame:
+def canonicalize(df: DataFrame, kind: str = "kind", value: str = "value", country: str | None = "country_code", profile: str | Column | None = None, definitions: list[Definition] | None = None, ruleset: Ruleset | None = None) -> DataFrame:
     """df with a struct column canonicalization; a NULL value gives NULL."""
-    found = resolve(df, kind, value, country, profile, definitions)
-    result = F.struct(*_common(), F.coalesce("e_status", F.lit("valid")).alias("status"), F.coalesce("e_reason", F.lit("ok")).alias("reason_code"), _blank("string").alias("message_key"))
+    found = resolve(df, kind, value, country, profile, definitions, ruleset)
+    result = F.struct(*_common(ruleset), F.coalesce("e_status", F.lit("valid")).alias("status"), F.coalesce("e_reason", F.lit("ok")).alias("reason_code"), _blank("string").alias("message_key"))
     return found.select(*[F.col(f"e_row.`{c}`").alias(c) for c in df.columns], F.when(F.col("e_value").isNotNull(), result).alias("canonicalization"))
 
 
@@ -185,15 +190,19 @@ def validate(
     registers: Registers | None = None,
     run_checksum: bool = True,
     definitions: list[Definition] | None = None,
+    ruleset: Ruleset | None = None,
 ) -> DataFrame:
     """df with a struct column report: the common fields, format and checksum (each level,
     status, reason_code, message_key), is_format_valid, is_checksum_valid, is_fully_validated
     and is_invalid. A NULL value gives a NULL report, a NULL kind is an unsupported kind.
 
     profile: a profile's name, a column that holds one, or None for each definition's own.
+    ruleset: a loaded bundle, whose programs then take the place of the catalog's definitions.
     """
     col, lists = F.col, registers or Registers()
-    found = resolve(df, kind, value, country, profile, definitions)
+    found = resolve(df, kind, value, country, profile, definitions, ruleset)
+    if ruleset is not None:
+        return _reported(df, _judged(found, ruleset, run_checksum), run_checksum, ruleset)
     spark, euid, selected = df.sparkSession, col("r_euid").isNotNull(), col("target").isNotNull()
     found = found.withColumns({"e_register": F.when(euid, evaluate.register(col("e_canonical"), col("r_euid"))), "e_tail": F.when(euid, evaluate.tail(col("e_canonical")))})
     found = found.withColumns({"e_listed": lists.listed(), "e_head": F.when(selected, _kept(spark, "head", evaluate.head_failure))})
@@ -207,7 +216,25 @@ def validate(
     status = F.when(~selected, col("e_status")).when(failed & known, "invalid").when(failed, "unsupported").otherwise("valid")
     reason = F.when(~selected, col("e_reason")).when(headless, _kept(spark, "reason", evaluate.head_reason)).when(failed & known, col("e_rest.reason_code")).when(failed, "unsupported_format").otherwise("ok")
     key = F.when(headless, _kept(spark, "key", evaluate.head_key)).when(failed & known, col("e_rest.message_key"))
-    found = found.withColumn("e_format", _step("format", status, reason, key))
+    return _reported(df, found.withColumn("e_format", _step("format", status, reason, key)), run_checksum)
+
+
+def _judged(found: DataFrame, ruleset: Ruleset, run_checksum: bool) -> DataFrame:
+    """found with e_format and e_sum by a bundle's programs. What they read is NULL where no
+    rule is selected, and checksums only see valid formats."""
+    col, selected = F.col, F.col("target").isNotNull()
+    found = found.withColumn("e_rest", ruleset.format(col("e_canonical"), col("e_profile")))
+    failed = col("e_rest").isNotNull()
+    status = F.when(~selected, col("e_status")).when(failed, "invalid").otherwise("valid")
+    reason = F.when(~selected, col("e_reason")).when(failed, col("e_rest.reason_code")).otherwise("ok")
+    found = found.withColumn("e_format", _step("format", status, reason, F.when(failed, col("e_rest.message_key"))))
+    summed = ruleset.checksum(col("e_canonical"), col("e_profile")) if run_checksum else F.lit(None).cast(evaluate.OUTCOME)
+    return found.withColumn("e_sum", F.when(col("e_format.status") == "valid", summed))
+
+
+def _reported(df: DataFrame, found: DataFrame, run_checksum: bool, ruleset: Ruleset | None = None) -> DataFrame:
+    """df with report, from e_format and e_sum."""
+    col = F.col
     not_run = lambda why: _step("checksum", F.lit("not_run"), F.lit(why), _blank("string"))
     absent = _step("checksum", F.lit("unsupported"), col("r_absence"), _blank("string"))
     ran = not_run("not_requested")
@@ -217,7 +244,7 @@ def validate(
     found = found.withColumn("e_checksum", checksum)
     format_valid, checksum_valid = col("e_format.status") == "valid", col("e_checksum.status") == "valid"
     report = F.struct(
-        *_common(),
+        *_common(ruleset),
         col("e_format").alias("format"),
         col("e_checksum").alias("checksum"),
         format_valid.alias("is_format_valid"),

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpident.functions import Ruleset, canonicalize, validate
 from corpident.plans import checks, language
 from corpident.plans.checks import IncompatibleRuleset, InvalidRuleset
 
@@ -207,3 +208,69 @@ def test_every_operation_compiles(spark):
     c = language.Context(F.col("s"), prefixes=("FR",), prefix="FR")
     out = rows.select(*[language.compile_program(programs[i], programs)(c).alias(f"r{i}") for i in (1, 2, 4)], language.compile_program(programs[3], programs)(c)(F.col("s")).alias("v")).collect()
     assert len(out) == 3 and out[0].v == "FR0xy2230x"[:2] + out[0].v[2:]
+
+
+def two_countries():
+    """The bundle with a second kind: prefixes of two lengths, an alias of a country, a definition without a checksum."""
+    n = lambda op, *operands, **params: {"op": op, "in": list(operands), **params}
+    b = bundle()
+    b["required_feature_ids"] = [1, 2, 3, 5, 11, 20, 21, 30, 31]
+    b["programs"] += [
+        {"id": 6, "kind": "canonicalization", "nodes": [n("canonicalization_prepend_country_if_missing")], "root": 0},
+        {"id": 7, "kind": "format", "nodes": [n("string_value"), n("string_country_code"), n("predicate_profile_is", profile="strict_current"), n("predicate_length_eq", 0, length=6), n("predicate_not", 2), n("predicate_any", 3, 4), n("assertion_require", 5, reason_code="invalid_length"), n("predicate_starts_with", 0, text="X"), n("predicate_not", 7), n("assertion_require", 8, reason_code="invalid_format"), n("assertion_sequence", 6, 9)], "root": 10},
+    ]
+    own = {"canonicalization": 6, "format": 7, "absence": "checksum_not_published", "sources": [{"url": "x"}]}
+    b["definitions"] += [{"id": f"b_{c.lower()}", "kind": "tool", "country": c, "default_profile": "compatible", **own} for c in ("BE", "GR")]
+    targets = [{"country": "BE", "definition": "b_be", "prefixes": ["BE", "BEL1"], "canonical_prefix": "BE"}, {"country": "GR", "definition": "b_gr", "prefixes": ["EL"], "canonical_prefix": "EL"}]
+    b["dispatchers"].append({"kind": "tool", "aliases": ["tool_no"], "pre_canonicalization": 1, "country_aliases": {"EL": "GR"}, "targets": targets})
+    return b
+
+
+def test_a_loaded_bundle_validates(spark):
+    cases = [
+        # kind, value, country, profile: canonical, country, format, checksum
+        ("thing", "732-829 320", None, None, ("732829320", "FR", "ok", "ok")),
+        (" FR_Thing", "732829321", "fr", None, ("732829321", "FR", "ok", "invalid_checksum")),
+        ("thing", "73282932", None, None, ("73282932", "FR", "invalid_length", "not_run_format_invalid")),
+        ("thing", "73282932x", None, None, ("73282932x", "FR", "invalid_characters", "not_run_format_invalid")),
+        ("thing", "7 3", "DE", None, ("73", "DE", "unsupported_country", "not_run_format_unsupported")),
+        ("tool", "BE 1234", None, None, ("BE1234", "BE", "ok", "checksum_not_published")),
+        ("tool", "BEL12", None, "strict_current", ("BEL12", "BE", "invalid_length", "not_run_format_invalid")),
+        ("tool", "1234", "EL", None, ("EL1234", "GR", "ok", "checksum_not_published")),
+        ("tool_no", "EL1", "BE", None, ("EL1", "BE", "country_mismatch", "not_run_format_invalid")),
+        ("tool", "1234", None, None, ("1234", None, "missing_country_code", "not_run_format_unsupported")),
+        ("siren", "73 2829320", None, None, ("73 2829320", None, "unsupported_kind", "not_run_format_unsupported")),
+        (None, "1", None, None, ("1", None, "unsupported_kind", "not_run_format_unsupported")),
+        ("thing", "1" * 1025, None, None, ("1" * 1025, None, "input_too_long", "not_run_format_unsupported")),
+        ("thing", None, None, None, None),
+    ]
+    rules = Ruleset(json.dumps(two_countries()).encode())
+    rows = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "target int, kind string, value string, country_code string, profile string")
+    got = validate(rows, profile="profile", ruleset=rules).orderBy("target").collect()
+    seen = [r.report and (r.report.canonical_value, r.report.country_code, r.report.format.reason_code, r.report.checksum.reason_code) for r in got]
+    assert seen == [c[4] for c in cases]
+    assert {r.report.rules_version for r in got if r.report} == {"1.0"}
+    assert got[2].report.format.status == "invalid" and got[3].report.format.message_key == "k" and got[0].report.is_fully_validated
+    some = validate(rows, profile="profile", ruleset=rules, run_checksum=False).where("target in (0, 5)").collect()
+    assert {r.report.checksum.reason_code for r in some} == {"not_requested"}
+    values = [r.canonicalization and r.canonicalization.canonical_value for r in canonicalize(rows, ruleset=rules).orderBy("target").collect()]
+    assert values == [c[4] and c[4][0] for c in cases]
+    assert validate(rows.limit(0), ruleset=rules).count() == 0
+
+
+def test_a_bundle_agrees_with_the_catalog(spark):
+    """The same rule as a program and as a row of the catalog."""
+    b = bundle()
+    b["dispatchers"][0] |= {"kind": "siren", "aliases": []}
+    b["definitions"][0]["kind"] = "siren"
+    n = lambda op, *operands, **params: {"op": op, "in": list(operands), **params}
+    b["programs"][0]["nodes"] = [n("canonicalization_remove_whitespace"), n("canonicalization_uppercase_ascii"), n("canonicalization_remove_chars", chars="-./_"), n("canonicalization_sequence", 0, 1, 2)]
+    b["programs"][0]["root"] = 3
+    values = ["732829320", "732 829-320", "73282932", "73282932A", "732829321", "٧" * 9, "356000000", None]
+    rows = spark.createDataFrame([(v, c) for v in values for c in (None, "FR", "fr ", "DE", "FRA")], "value string, country_code string").withColumn("kind", F.lit("siren"))
+
+    def reports(**how):
+        out = validate(rows, **how).select("value", "country_code", F.col("report.canonical_value"), F.col("report.country_code").alias("c"), *[F.col(f"report.{x}.{y}").alias(f"{x}_{y}") for x in ("format", "checksum") for y in ("status", "reason_code")])
+        return sorted(map(str, out.collect()))
+
+    assert reports(ruleset=Ruleset(json.dumps(b).encode())) == reports()
