@@ -84,8 +84,8 @@ def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndar
 
 
 def sketches(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """One row per document: id long, v long (the set's hash, signed), n int (its size), fp
-    long, prefix, and the parity sketches coarse (of COARSE bits) and fine (of about 6 n, or COARSE)."""
+    """texts: id, text, h. One row per document: id long, h, v long (the set's hash, signed), n
+    int (its size), fp long, prefix, and the parity sketches coarse (of COARSE bits) and fine (of about 6 n, or COARSE)."""
     hot, counts = common_shingles(texts, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +101,9 @@ def sketches(texts: DataFrame, shingle: int, similarity: tuple[int, int]) -> Dat
                 coarse.append(parities(own, COARSE).tobytes())
                 fine.append(parities(own, min(MOST_BITS, max(COARSE, 1 << (4 * len(own)).bit_length()))).tobytes())
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (v, fp)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(n, pa.int32()), signed[1], pa.array(firsts, pa.list_(pa.int64())), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())], ["id", "v", "n", "fp", "prefix", "coarse", "fine"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(n, pa.int32()), signed[1], pa.array(firsts, pa.list_(pa.int64())), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary()), batch.column(2)], ["id", "v", "n", "fp", "prefix", "coarse", "fine", "h"])
 
-    return texts.mapInArrow(run, "id long, v long, n int, fp long, prefix array<long>, coarse binary, fine binary")
+    return texts.mapInArrow(run, "id long, v long, n int, fp long, prefix array<long>, coarse binary, fine binary, h long")
 
 
 def parities(own: np.ndarray, bits: int) -> np.ndarray:

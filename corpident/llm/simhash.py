@@ -47,16 +47,20 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     return jaccard.bits(shingle_hashes(text, shingle))
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("binary")).alias("h")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """One row per document: id long, fp long (the bits, signed)."""
+    """One row per document: id long, fp long (the bits, signed), h long (a hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["id", "fp", "h"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), _text_hash(text_col))
+    return rows.mapInArrow(run, "id long, fp long, h long")
 
 
 def spanning(fps: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -129,25 +133,29 @@ def _rooted(nodes: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return nodes.join(found, key, "left").select(key, F.when(F.col("_linked"), F.col("_id")).otherwise(F.col("least_id")).alias("component_id"), "copies")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, similarity: tuple[int, int] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, similarity: tuple[int, int] | None = None, text_hash: bool = False) -> DataFrame:
     """One row per document: doc_id, fp long, component_id (smallest id linked to it, directly
-    or not). Links are fingerprints of at most max_bits differing bits or, with similarity (a
+    or not), with text_hash also text_hash long, which tells texts of one id apart. Links are fingerprints of at most max_bits differing bits or, with similarity (a
     fraction), sets of shingles that similar."""
     if similarity is not None:
-        return _similar(docs, id_col, text_col, shingle, max_bits, similarity)
+        return _result(_similar(docs, id_col, text_col, shingle, max_bits, similarity), text_hash)
     fps = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = stash(fps.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "nodes")
     edges = stash(links(nodes.select("fp"), max_bits), "links")
     table = stash(_rooted(nodes, components(as_nodes(edges, nodes, "fp")), "fp"), "components")
     unstash(nodes, edges)
-    return spread_join(fps, table, "fp", "copies", "id").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    return _result(spread_join(fps, table, "fp", "copies", "id"), text_hash)
+
+
+def _result(found: DataFrame, text_hash: bool) -> DataFrame:
+    return found.select(F.col("id").alias("doc_id"), "fp", "component_id", *[F.col("h").alias("text_hash")] * text_hash)
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, similarity: tuple[int, int]) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = stash(jaccard.sketches(texts, shingle, similarity), "sketches")
+    rows = stash(jaccard.sketches(texts.withColumn("h", _text_hash("text")), shingle, similarity), "sketches")
     nodes = stash(rows.groupBy("v").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("coarse").alias("coarse"), F.first("fine").alias("fine")), "nodes")
-    rows = rows.select("id", "v", "fp")
+    rows = rows.select("id", "v", "fp", "h")
     # by fingerprint: one set stands for all of its fingerprint, and fingerprints are linked
     heads = stash(nodes.groupBy("fp").agg(F.min(F.struct("v", "n")).alias("head")).select("fp", "head.v", "head.n"), "heads")
     near = stash(links(heads.select("fp"), max_bits), "links")
@@ -164,12 +172,15 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits
     more = jaccard.links(second, texts, nodes, shingle, similarity)
     table = stash(_rooted(nodes, components(as_nodes(edges.union(more), nodes, "v")), "v"), "components")
     unstash(nodes, heads, near, shared, first, second, edges, more)
-    return spread_join(rows, table, "v", "copies", "id").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    return spread_join(rows, table, "v", "copies", "id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, similarity: tuple[int, int] | None = None) -> DataFrame:
     """The documents without those near a document of smaller id in their component. Rows with
-    a null id stay; repeated rows of a document that stays do too."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, max_bits, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    a null id stay; repeated rows of a document that stays do too. Rows of one id but different
+    texts are judged each by its own text."""
+    found = near_duplicates(docs, id_col, text_col, shingle, max_bits, similarity, text_hash=True)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
     gone = stash(gone, "gone")  # its size is known then, and texts need not move if it is small
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    same = (docs[id_col] == gone["_gone"]) & (F.xxhash64(docs[text_col].cast("binary")) == gone["_hash"])
+    return docs.join(gone, same, "left_anti")
