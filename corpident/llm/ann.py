@@ -3,18 +3,24 @@
 Unit vectors are turned by pseudo-rotations (three rounds of random signs and a fast Hadamard
 transform) and assigned to the nearest signed axis, the vertex of the cross-polytope. A cell
 of a table is the pair of vertices of two rotations, so a table has (2 d)^2 cells. Every row
-is indexed under its cell in each of `tables` tables; a query looks into the `probes` cells
-whose two axes it is nearest to, of each table. Rows and queries meet by equality of cells:
+is indexed under its cell in each of `tables` tables; a query looks into the cells of a table
+whose two axes it is nearest to. How many follows from what it finds: in the first two
+sevenths of the tables each query probes alike, and the cosine of its k-th nearest so far tells
+how many cells of each other table find a row that near with the chance AIM (depths). A
+nearer row falls into the probed cells more often, so a query with close neighbours needs few
+cells and one with distant neighbours many. Rows and queries meet by equality of cells:
 runs of neighbouring cells make a block of about BLOCK_ROWS rows, a row goes to one block a table, a
 query only to the blocks that hold cells it probes, and blocks that are too full are dealt
 over several groups. In a block a query is compared with the rows of its own cells alone, by
 exact cosine in double precision, and keeps its k + 1 best; the best of those are the answer.
 All rows are indexed; nothing is capped. Blocks follow the number of rows and move data only:
-which rows are candidates depends on tables, probes and seed.
+which rows are candidates depends on tables, seed and the query's own neighbours, or probes
+where given, never on how many rows there are.
 
 Equal vectors are searched for once, and of equal vectors the k + 1 smallest ids are indexed:
-k answers, or the query itself and k more. A query that finds fewer than k + 1 rows is
-compared with all of them instead, in blocks.
+k answers, or the query itself and k more. A query that finds fewer than k + 1 rows, or only
+rows so far off that the other tables would take as many cells as a table has, is compared
+with all rows instead, in blocks.
 
 Nulls and edge cases: vectors that are null, zero, of another length than most, or that hold
 a null or non-finite component take no part, neither as query nor as candidate; nor do rows
@@ -27,8 +33,8 @@ multiplied, so no norm runs over or under.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +44,10 @@ from pyspark.sql import functions as F
 from .common import stash, unstash
 
 TABLES, SEED = 14, 7
-#: Cells probed in each table of a table of so many rows; see probes_for.
-PROBES, AT_ROWS, FALL, LEAST_PROBES = 92, 50_000, 0.38, 16
+#: Cells probed in each of the first tables: one in PROBE_SHARE of all, up to PROBES. In the others, at least so many.
+PROBE_SHARE, PROBES, LEAST_PROBES = 256, 64, 16
+#: The chance to find the k-th nearest; steps of the cosine from 0 to 1; pairs drawn to measure.
+AIM, STEPS, DRAWN = 0.9, 50, 1024
 #: Rows of a block, and queries of a block of a whole search, about.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 #: Pairs scored at a time, about.
@@ -109,17 +117,64 @@ def probed(unit: np.ndarray, turns: np.ndarray, n: int) -> np.ndarray:
     first, second = (_sides(unit, t) for t in turns)
     n = min(n, first.shape[1] ** 2)
     out = np.empty((len(unit), n), np.int32)
-    for i in range(0, len(unit), 256):
-        both = (first[i : i + 256, :, None] + second[i : i + 256, None, :]).reshape(len(first[i : i + 256]), -1)
-        out[i : i + 256] = np.argpartition(-both, n - 1, axis=1)[:, :n]
+    some = max(1, (1 << 22) // first.shape[1] ** 2)
+    for i in range(0, len(unit), some):
+        both = (first[i : i + some, :, None] + second[i : i + some, None, :]).reshape(len(first[i : i + some]), -1)
+        out[i : i + some] = np.argpartition(-both, n - 1, axis=1)[:, :n]
     return np.sort(out, axis=1)
 
 
-def probes_for(rows: int) -> int:
-    """Cells to probe in each table. The fewer the rows, the further off the nearest of them
-    are, and the more cells it takes to find them: the candidates grow as a power of the rows
-    that is less than 1, as in any hashing of this kind."""
-    return max(LEAST_PROBES, math.ceil(PROBES * (AT_ROWS / max(rows, 1)) ** FALL))
+def first_tables(tables: int) -> int:
+    return max(1, tables * 2 // 7)
+
+
+def first_probes(dims: int) -> int:
+    return max(1, min(PROBES, n_cells(dims) // PROBE_SHARE))
+
+
+def _ranks(dims: int, seed: int = SEED) -> np.ndarray:
+    """For cosines 0, 1 / STEPS, ..., 1, of drawn pairs of vectors of that cosine: how many cells
+    are nearer to the one than the other's cell is, ascending. Rotated at random, a pair is
+    any pair of its cosine, so nothing else about the vectors matters."""
+    rng = np.random.default_rng(seed)
+    near = np.arange(STEPS + 1)[:, None] / STEPS
+    out = np.empty((STEPS + 1, DRAWN), np.int64)
+    for i in range(DRAWN):
+        sides, own = [], 0.0
+        for _ in range(2):
+            q, z = rng.normal(size=(2, dims))
+            q /= np.sqrt(q @ q)
+            z -= (z @ q) * q
+            x = near * q + np.sqrt(1 - near * near) * (z / np.sqrt(z @ z))
+            at = np.abs(x).argmax(axis=1)
+            own = own + q[at] * np.sign(x[np.arange(len(x)), at])
+            sides.append(np.concatenate([q, -q]))
+        above = np.sort(sides[1])
+        out[:, i] = (len(above) - np.searchsorted(above, own[:, None] - sides[0], "right")).sum(axis=1)
+    return np.sort(out, axis=1)
+
+
+@lru_cache
+def depths(dims: int, tables: int) -> np.ndarray:
+    """For cosines 0, 1 / STEPS, ..., 1: the cells to probe in each table after the first ones,
+    so that all tables together find a row of that cosine with the chance AIM."""
+    dims = 1 << max(0, dims - 1).bit_length()
+    first, every = first_tables(tables), n_cells(dims)
+    if dims == 1 or first == tables:
+        return np.full(STEPS + 1, every)
+    ranks = _ranks(dims)
+    missed = (ranks >= first_probes(dims)).mean(axis=1) ** first
+    hit = 1 - np.minimum(1, (1 - AIM) / np.maximum(missed, 1e-12)) ** (1 / (tables - first))
+    nth = np.ceil(hit * DRAWN).astype(np.int64)
+    cells = np.where(nth > 0, ranks[np.arange(STEPS + 1), np.maximum(nth, 1) - 1] + 1, 1)
+    return np.clip(np.maximum.accumulate(cells[::-1])[::-1], min(LEAST_PROBES, every), every)
+
+
+def probes_for(cosine: np.ndarray | float, depth: np.ndarray | None = None) -> np.ndarray:
+    """Cells to probe in each table after the first ones, for a query whose k-th nearest so far
+    has this cosine; depth: of depths(), by default for 64 dimensions and TABLES tables."""
+    depth = depths(64, TABLES) if depth is None else depth
+    return depth[np.clip(np.floor(np.asarray(cosine) * STEPS), 0, STEPS).astype(np.int64)]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -175,7 +230,7 @@ def _meet(dims: int, k: int):
 
 def neighbours(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int | None = None, seed: int = SEED) -> DataFrame:
     """query_id long, rank int (from 1), vec_id long, score double. probes: cells a query
-    looks into in each table, by default probes_for the rows indexed."""
+    looks into in each table, by default as many as its own neighbours require."""
     v = F.col(vector_col)
     kind = "float" if dict(table.dtypes)[vector_col] == "array<float>" else "double"
     fine = F.forall(v, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False)))
@@ -192,53 +247,76 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "ve
     # (q, h) names a vector that is asked for: the smallest id that asks, and its hash
     heads = stash(asking.groupBy("v").agg(F.min("id").alias("q")).withColumn("h", F.xxhash64("v")), "asked")
     n = own.count()
-    probes = probes_for(n) if probes is None else probes
     n_blocks = min(n_cells(dims), max(1, -(-n // BLOCK_ROWS)))
     width = -(-n_cells(dims) // n_blocks)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unit = padded(_matrix(batch.column(1), dims))
-            for t, turn in enumerate(turns):
-                cell = cells(unit, turn)
-                yield pa.RecordBatch.from_arrays([pa.array(t * n_blocks + cell.astype(np.int64) // width), pa.array(cell), batch.column(0), batch.column(1)], ["b", "cell", "id", "v"])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            unit = padded(_matrix(batch.column(0), dims))
-            for t, turn in enumerate(turns):
-                cell = probed(unit, turn, probes)
-                block = cell.astype(np.int64) // width
-                first = np.concatenate([np.ones((len(cell), 1), bool), block[:, 1:] != block[:, :-1]], axis=1)
-                at = np.flatnonzero(first)
-                who = pa.array(at // cell.shape[1])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(at, cell.size).astype(np.int32)), pa.array(cell.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(t * n_blocks + block.ravel()[at]), lists, *[batch.column(i).take(who) for i in (1, 2, 0)]], ["b", "cells", "q", "h", "v"])
-
-    indexed = own.mapInArrow(index, f"b long, cell int, id long, v array<{kind}>")
-    asked = heads.select("v", "q", "h").mapInArrow(probe, f"b long, cells array<int>, q long, h long, v array<{kind}>")
-    full = indexed.groupBy("b").count().where(F.col("count") > 2 * BLOCK_ROWS)
-    full = stash(full.select("b", F.ceil(F.col("count") / BLOCK_ROWS).alias("parts")), "full")
-    parts = F.coalesce("parts", F.lit(1))
-    indexed = indexed.join(full, "b", "left").withColumn("s", F.pmod(F.xxhash64("id"), parts)).drop("parts")
-    asked = asked.join(full, "b", "left").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
     run = _meet(dims, k + 1)
-    found = _top(indexed.groupBy("b", "s").cogroup(asked.groupBy("b", "s")).applyInArrow(run, FOUND), k + 1)
-    found = stash(found, "found")
-    short = heads.join(found.groupBy("q", "h").count(), ["q", "h"], "left").where(F.coalesce("count", F.lit(0)) <= k).drop("count")
-    short = stash(short, "short")
+
+    def meet(heads: DataFrame, since: int, until: int, depth: np.ndarray | None, what: str) -> DataFrame:
+        """What heads (v, q, h, cosine) find in some of the tables; depth: cells to probe by cosine."""
+
+        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                unit = padded(_matrix(batch.column(1), dims))
+                for t in range(since, until):
+                    cell = cells(unit, turns[t])
+                    yield pa.RecordBatch.from_arrays([pa.array(t * n_blocks + cell.astype(np.int64) // width), pa.array(cell), batch.column(0), batch.column(1)], ["b", "cell", "id", "v"])
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                unit = padded(_matrix(batch.column(0), dims))
+                many = probes_for(batch.column(3).to_numpy(), depth)
+                for m in np.unique(many):
+                    alike, some = np.flatnonzero(many == m), max(1, (1 << 22) // int(m))
+                    for rows in (alike[i : i + some] for i in range(0, len(alike), some)):
+                        for t in range(since, until):
+                            cell = probed(unit[rows], turns[t], int(m))
+                            block = cell.astype(np.int64) // width
+                            new = np.concatenate([np.ones((len(cell), 1), bool), block[:, 1:] != block[:, :-1]], axis=1)
+                            at = np.flatnonzero(new)
+                            who = pa.array(rows[at // cell.shape[1]])
+                            lists = pa.ListArray.from_arrays(pa.array(np.append(at, cell.size).astype(np.int32)), pa.array(cell.ravel()))
+                            yield pa.RecordBatch.from_arrays([pa.array(t * n_blocks + block.ravel()[at]), lists, *[batch.column(i).take(who) for i in (1, 2, 0)]], ["b", "cells", "q", "h", "v"])
+
+        indexed = own.mapInArrow(index, f"b long, cell int, id long, v array<{kind}>")
+        asked = heads.select("v", "q", "h", "cosine").mapInArrow(probe, f"b long, cells array<int>, q long, h long, v array<{kind}>")
+        full = indexed.groupBy("b").count().where(F.col("count") > 2 * BLOCK_ROWS)
+        full = stash(full.select("b", F.ceil(F.col("count") / BLOCK_ROWS).alias("parts")), "full")
+        parts = F.coalesce("parts", F.lit(1))
+        indexed = indexed.join(full, "b", "left").withColumn("s", F.pmod(F.xxhash64("id"), parts)).drop("parts")
+        asked = asked.join(full, "b", "left").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+        met = stash(_top(indexed.groupBy("b", "s").cogroup(asked.groupBy("b", "s")).applyInArrow(run, FOUND), k + 1), what)
+        unstash(full)
+        return met
+
+    first = first_tables(tables) if probes is None else tables
+    even = np.full(STEPS + 1, first_probes(dims) if probes is None else min(probes, n_cells(dims)))
+    found = meet(heads.withColumn("cosine", F.lit(0.0)), 0, first, even, "found")
+    so_far = heads.join(found.groupBy("q", "h").agg(F.count("*").alias("count"), F.min("score").alias("cosine")), ["q", "h"], "left")
+    is_short = F.coalesce("count", F.lit(0)) <= k
+    if probes is None:
+        depth = depths(dims, tables)
+        # from this cosine on the other tables take fewer cells than a table has
+        worth = np.flatnonzero(depth * (tables - first) < n_cells(dims))
+        is_short = is_short | (F.col("cosine") < (float(worth[0]) / STEPS if len(worth) else float("inf")))
+    so_far = stash(so_far.withColumn("short", is_short), "so_far")
+    short = so_far.where("short").select("v", "q", "h")
+    if first < tables:
+        early, later = found, meet(so_far.where("not short"), first, tables, depth, "more")
+        found = stash(_top(early.union(later), k + 1), "found")
+        unstash(early, later)
     if n_short := short.count():
         shards, blocks = max(1, -(-n // BLOCK_ROWS)), -(-n_short // BLOCK_QUERIES)
         every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
         left = own.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("b"), every(blocks).alias("s"), F.lit(0).alias("cell"), "id", "v")
         right = short.select(every(shards).alias("b"), F.pmod("h", F.lit(blocks)).alias("s"), F.array(F.lit(0)).alias("cells"), "q", "h", "v")
-        found = found.union(left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(run, FOUND))
-        found = stash(_top(found, k + 1), "found")
+        every_row = found.union(left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(run, FOUND))
+        early, found = found, stash(_top(every_row, k + 1), "found")
+        unstash(early)
     answers = asking.join(heads, "v").select(F.col("id").alias("query_id"), "q", "h").join(found, ["q", "h"]).where("vec_id <> query_id")
     answers = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     done = stash(answers.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours")
-    unstash(rows, own, heads, full, found, short)
+    unstash(rows, own, heads, found, so_far)
     return done
 
 

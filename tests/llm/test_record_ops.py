@@ -155,6 +155,51 @@ def test_recall_on_hard_data(spark):
     assert seen.mean() < 0.15
 
 
+def test_results_do_not_depend_on_the_number_of_rows(spark):
+    """Rows at right angles to all others change no answer, however many they are."""
+    rng = np.random.default_rng(6)
+    x = np.zeros((9600, 64), np.float32)
+    x[:600, :32], x[600:, 32:] = rng.normal(size=(600, 32)), rng.normal(size=(9000, 32))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = F.col("vec_id") % 10 == 0
+    few, many = (ann.neighbours(t, asked & (F.col("vec_id") < 600)).collect() for t in (df.where("vec_id < 600"), df))
+    assert len(few) == 300 and sorted(few) == sorted(many)
+
+
+@pytest.mark.parametrize("n", [500, 8000])
+def test_probes_follow_the_neighbours_found(spark, n):
+    """The same recall in small and larger tables, from the cells that the first tables' cosines ask for."""
+    dims, first = 64, ann.first_tables(ann.TABLES)
+    x = np.random.default_rng(7).normal(size=(n, dims))
+    asked = np.arange(n) % (n // 100) == 0
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.neighbours(df, F.col("vec_id") % (n // 100) == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    plain = plain_neighbours(np.arange(n), x, asked, 5)
+    assert sum(len(got[q] & set(plain[q])) for q in plain) >= 0.9 * 5 * len(plain)
+    unit, seen = ann.padded(x), np.zeros((int(asked.sum()), n), bool)
+    turns = ann.signs(dims, 2 * ann.TABLES, ann.SEED).reshape(ann.TABLES, 2, 3, -1)
+    own = [ann.cells(unit, t) for t in turns]
+    for t in range(first):
+        for i, near in enumerate(ann.probed(unit[asked], turns[t], ann.first_probes(dims))):
+            seen[i] |= np.isin(own[t], near)
+    length = np.linalg.norm(x, axis=1)
+    cosine = np.where(seen, x[asked] @ x.T / np.outer(length[asked], length), -1.0)
+    depth = ann.probes_for(np.sort(cosine, axis=1)[:, -6])
+    for i, q in enumerate(np.flatnonzero(asked)):
+        for t in range(first, ann.TABLES):
+            seen[i] |= np.isin(own[t], ann.probed(unit[q : q + 1], turns[t], int(depth[i]))[0])
+        # what the search returns is the best of these candidates, or of all rows
+        best = sorted(np.flatnonzero(seen[i] & (np.arange(n) != q)), key=lambda j: -cosine_of(x, q, j))[:5]
+        assert got[q] in (set(best), set(plain[q]))
+    assert seen.mean() < {500: 0.7, 8000: 0.25}[n]
+
+
+def cosine_of(x, i, j):
+    return x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j])
+
+
 def _best(ids, x, asked, k):
     cell = np.zeros(len(x), np.int32)
     got = defaultdict(list)
